@@ -22,7 +22,7 @@ def p5_report(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _FOUND = " UNION ALL ".join(
-    f"""SELECT '{r.table}' AS table_name, '{r.field}' AS field_name, e.id AS row_id, min(e.created_at) AS at
+    f"""SELECT '{r.table}' AS table_name, '{r.field}' AS field_name, e.id AS row_id, min(e.created_at) AS ts
     FROM {r.table} e LEFT JOIN {r.parent} p ON e.{r.field} = p.id
     WHERE e.{r.field} IS NOT NULL AND (p.id IS NULL OR p.created_at > e.created_at) GROUP BY e.id"""
     for r in REFERENCES
@@ -30,6 +30,6 @@ _FOUND = " UNION ALL ".join(
 QUERIES = {"p5_found": p5_found, "p5_report": p5_report}
 SQL = {
     "p5_found": f"SELECT table_name, field_name, row_id FROM ({_FOUND})",
-    "p5_report": f"""SELECT table_name, field_name, strftime(at, '%Y-%m') AS month, count(*) AS orphans
+    "p5_report": f"""SELECT table_name, field_name, strftime(ts, '%Y-%m') AS month, count(*) AS orphans
     FROM ({_FOUND}) GROUP BY ALL""",
 }
