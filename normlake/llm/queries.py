@@ -5,10 +5,15 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from normlake.llm.bpe import count_tokens, encode
 from normlake.llm.components import connected_components
 from normlake.llm.conversations import conversations, unfit_sessions
+from normlake.llm.packing import pack
 from normlake.plans.runtime import table
 
+#: Tokens a container holds.
+CAPACITY = 2048
+
 
 def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     merges = table(spark, sf_dir, "ontology_merge_log").select(F.col("winner_id").alias("a"), F.col("loser_id").alias("b"))
@@ -24,19 +29,33 @@ def p7_conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return conversations(table(spark, sf_dir, "chat_messages"))
 
 
-QUERIES = {"p3_found": p3_found, "p7_found": p7_found, "p7_conversations": p7_conversations}
+def p8_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return encode(table(spark, sf_dir, "documents"))
+
+
+def p9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack(count_tokens(table(spark, sf_dir, "documents")), CAPACITY)
+
+
+QUERIES = {
+    "p3_found": p3_found,
+    "p7_found": p7_found,
+    "p7_conversations": p7_conversations,
+    "p8_ids": p8_ids,
+    "p9_packing": p9_packing,
+}
 
 _ROLE = r"lower(regexp_replace(role, '^[\s\x{A0}]+|[\s\x{A0}]+$', '', 'g'))"
 _TURNS = rf"""
 WITH raw AS (
-  SELECT session_id, created_at AS at, id, coalesce(content, '') AS content, tool_calls_json IS NOT NULL AS calls,
+  SELECT session_id, created_at AS ts, id, coalesce(content, '') AS content, tool_calls_json IS NOT NULL AS calls,
     CASE WHEN {_ROLE} IN ('user', 'human') THEN 'user' WHEN {_ROLE} IN ('assistant', 'model', 'ai') THEN 'assistant'
          WHEN {_ROLE} = 'system' THEN 'system' WHEN {_ROLE} IN ('tool', 'function') THEN 'tool' ELSE 'unreadable' END AS speaker
   FROM chat_messages WHERE session_id IS NOT NULL),
-m AS (SELECT session_id, at, speaker, content, min(id) AS id, bool_or(calls) AS calls FROM raw GROUP BY ALL),
+m AS (SELECT session_id, ts, speaker, content, min(id) AS id, bool_or(calls) AS calls FROM raw GROUP BY ALL),
 t AS (SELECT *, lag(speaker) OVER w AS before, lead(speaker) OVER w AS after, row_number() OVER w AS turn FROM m
   WHERE speaker IN ('user', 'assistant') AND NOT regexp_full_match(content, '[\s\x{{A0}}]*') AND NOT (speaker = 'assistant' AND calls)
-  WINDOW w AS (PARTITION BY session_id ORDER BY at, id)),
+  WINDOW w AS (PARTITION BY session_id ORDER BY ts, id)),
 s AS (SELECT session_id, bool_or(speaker = 'unreadable') AS unreadable FROM m GROUP BY session_id),
 f AS (SELECT session_id, arg_min(speaker, turn) AS first, bool_or(speaker = 'assistant' AND before = 'assistant') AS doubled,
   bool_or(speaker = 'user' AND after IS DISTINCT FROM 'assistant') AS unanswered FROM t GROUP BY session_id),
