@@ -9,12 +9,17 @@ from normlake.llm.bpe import count_tokens, encode
 from normlake.llm.components import connected_components
 from normlake.llm.conversations import conversations, unfit_sessions
 from normlake.llm.packing import pack
+from normlake.llm.pairs import find_broken_pairs
 from normlake.plans.runtime import table
 
 #: Tokens a container holds.
 CAPACITY = 2048
 
 
+def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return find_broken_pairs(table(spark, sf_dir, "grid_chat_results"))
+
+
 def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     merges = table(spark, sf_dir, "ontology_merge_log").select(F.col("winner_id").alias("a"), F.col("loser_id").alias("b"))
     verdicts = table(spark, sf_dir, "ontology_dedup_cache").where("identical").select(F.col("id1").alias("a"), F.col("id2").alias("b"))
@@ -38,6 +43,7 @@ def p9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "p2_found": p2_found,
     "p3_found": p3_found,
     "p7_found": p7_found,
     "p7_conversations": p7_conversations,
