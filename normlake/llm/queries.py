@@ -10,6 +10,7 @@ from normlake.llm.components import connected_components
 from normlake.llm.conversations import conversations, unfit_sessions
 from normlake.llm.packing import pack
 from normlake.llm.pairs import find_broken_pairs
+from normlake.llm.spam import find_spam_pages
 from normlake.plans.runtime import table
 
 #: Tokens a container holds.
@@ -42,6 +43,10 @@ def p9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(count_tokens(table(spark, sf_dir, "documents")), CAPACITY)
 
 
+def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return find_spam_pages(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "p2_found": p2_found,
     "p3_found": p3_found,
@@ -49,6 +54,7 @@ QUERIES = {
     "p7_conversations": p7_conversations,
     "p8_ids": p8_ids,
     "p9_packing": p9_packing,
+    "p10_found": p10_found,
 }
 
 _ROLE = r"lower(regexp_replace(role, '^[\s\x{A0}]+|[\s\x{A0}]+$', '', 'g'))"
