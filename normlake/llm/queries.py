@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from normlake.llm.bpe import count_tokens, encode
 from normlake.llm.components import connected_components
 from normlake.llm.conversations import conversations, unfit_sessions
+from normlake.llm.near_copies import near_copies
 from normlake.llm.packing import pack
 from normlake.llm.pairs import find_broken_pairs
 from normlake.llm.spam import find_spam_pages
@@ -27,6 +28,14 @@ def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return connected_components(merges.unionByName(verdicts)).select("group_id", "record_id")
 
 
+def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    names = ("chunks", "ontology_nodes")
+    chunks = table(spark, sf_dir, names[0]).select(F.lit(0).alias("kind"), "id", "text")
+    nodes = table(spark, sf_dir, names[1]).select(F.lit(1).alias("kind"), "id", F.col("description").alias("text"))
+    pairs = near_copies(chunks.unionByName(nodes))
+    return pairs.select(F.when(F.col("kind") == 0, names[0]).otherwise(names[1]).alias("table_name"), "id_a", "id_b")
+
+
 def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return unfit_sessions(table(spark, sf_dir, "chat_messages"))
 
@@ -50,6 +59,7 @@ def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "p2_found": p2_found,
     "p3_found": p3_found,
+    "p6_found": p6_found,
     "p7_found": p7_found,
     "p7_conversations": p7_conversations,
     "p8_ids": p8_ids,
