@@ -6,18 +6,47 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from normlake.llm.bpe import count_tokens, encode
+from normlake.llm.clusters import cluster_members, describe_clusters
 from normlake.llm.components import connected_components
 from normlake.llm.conversations import conversations, unfit_sessions
 from normlake.llm.near_copies import near_copies
+from normlake.llm.neighbours import similar_pairs
 from normlake.llm.packing import pack
 from normlake.llm.pairs import find_broken_pairs
 from normlake.llm.spam import find_spam_pages
-from normlake.plans.runtime import table
+from normlake.plans.runtime import cut, table
 
 #: Tokens a container holds.
 CAPACITY = 2048
 
 
+#: Values of a node vector.
+NODE_SIZE = 64
+
+
+def _nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "ontology_nodes").select(F.col("context_id").alias("part"), F.col("id").alias("key"), F.col("vector_blob").alias("vec"))
+
+
+def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Nodes by context and raw types by model; the right size of a model is the one most of its vectors have."""
+    nodes = _nodes(spark, sf_dir).select(F.concat(F.lit("node|"), F.col("part")).alias("part"), F.col("key").cast("string").alias("key"), "vec")
+    cache = table(spark, sf_dir, "ontology_type_vector_cache")
+    model = F.col("embedding_model_id").cast("string")
+    types = cache.where("vector is not null").select(
+        F.concat(F.lit("type|"), model).alias("part"), F.concat(model, F.lit("|"), F.col("raw_type")).alias("key"), F.col("vector").alias("vec")
+    )
+    counted = types.groupBy("part", F.size("vec").alias("size")).agg(F.count(F.lit(1)).alias("n"))
+    # One row a model.
+    sizes = {r["part"]: r["size"] for r in counted.groupBy("part").agg(F.max_by("size", F.struct("n", -F.col("size"))).alias("size")).collect()}
+    found = None
+    for size in sorted({NODE_SIZE, *sizes.values()}):
+        own = types.where(F.col("part").isin([p for p, n in sizes.items() if n == size]))
+        one = similar_pairs(nodes.unionByName(own) if size == NODE_SIZE else own, size)
+        found = one if found is None else found.unionByName(one)
+    return found.select(F.substring_index("part", "|", 1).alias("collection"), "key_a", "key_b")
+
+
 def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return find_broken_pairs(table(spark, sf_dir, "grid_chat_results"))
 
@@ -28,6 +57,16 @@ def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return connected_components(merges.unionByName(verdicts)).select("group_id", "record_id")
 
 
+def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return cluster_members(_nodes(spark, sf_dir), NODE_SIZE)
+
+
+def p4_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    nodes = _nodes(spark, sf_dir)
+    members = cut(cluster_members(nodes, NODE_SIZE))
+    return describe_clusters(members, nodes, table(spark, sf_dir, "ontology_community_members"), NODE_SIZE)
+
+
 def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     names = ("chunks", "ontology_nodes")
     chunks = table(spark, sf_dir, names[0]).select(F.lit(0).alias("kind"), "id", "text")
@@ -57,8 +96,11 @@ def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "p1_found": p1_found,
     "p2_found": p2_found,
     "p3_found": p3_found,
+    "p4_found": p4_found,
+    "p4_clusters": p4_clusters,
     "p6_found": p6_found,
     "p7_found": p7_found,
     "p7_conversations": p7_conversations,
