@@ -212,30 +212,57 @@ def names_other_act(text: str, surface: str, own: str, lexicon: Lexicon | None =
     return others > 0 and mine == 0
 
 
-def definition_site(key: str, candidates: Sequence[tuple[int, int, int, str, str | None, int]], lexicon: Lexicon | None = None) -> int | None:
-    """The chunk that defines a norm, of candidates (id, document_id, chunk_index, text, section, density).
-
-    The earliest chunk whose section or opening names the norm wins; if none
-    does, the one with most references, then the earliest.
-    """
-    if not candidates:
-        return None
+def defines(key: str, text: str | None, headings: Sequence[str | None] = (), lexicon: Lexicon | None = None) -> bool:
+    """Whether a chunk defines a norm: its text begins with it, or a heading (signature, section) names it, and no other act is meant."""
     act = key.partition(":")[0]
-    patterns = [(s, re.compile(bounded(s))) for s in surfaces(key)]
-
-    def defines(c: tuple) -> bool:
-        head = " ".join((c[3] or "").split())[:160]
-        section = " ".join((c[4] or "").split())
-        for s, p in patterns:
-            for place in (section, head):
-                m = p.search(place.lower())
-                if m and m.start() <= (len(place) if place is section else 40) and not names_other_act(place, s, act, lexicon):
-                    return True
-        return False
-
-    sites = sorted((c for c in candidates if defines(c)), key=lambda c: (c[1], c[2]))
-    best = sites[0] if sites else min(candidates, key=lambda c: (-c[5], c[1], c[2]))
-    return best[0]
+    body = " ".join((text or "").split())
+    for surface in surfaces(key):
+        pattern = re.compile(bounded(surface))
+        if pattern.match(body.lower()) and not names_other_act(body, surface, act, lexicon):
+            return True
+        for h in headings:
+            if h and pattern.search(" ".join(h.lower().split())) and not names_other_act(h, surface, act, lexicon):
+                return True
+    return False
+
+
+def resolve(keys: DataFrame, chunks: DataFrame, refs: DataFrame, lexicon: Lexicon | None = None) -> DataFrame:
+    """(ref_key, chunk_id): the chunk that each key of keys(ref_key) points to.
+
+    Candidates are the chunks that carry the key and, for an article of an EU
+    regulation, the chunks of documents that cite the regulation in one of their
+    first three chunks and name the article; if any of these defines it, it goes
+    before the citing ones. The earliest defining chunk wins; without one the
+    chunk with most references, then the earliest. chunks(id, document_id,
+    chunk_index, text, signature, metadata, is_omitted); omitted ones are out.
+    The choice is one grouping by key, so a key cited by any number of chunks
+    needs no more than a row a task.
+    """
+    lexicon = lexicon or Lexicon()
+
+    @F.pandas_udf("boolean")
+    def is_site(it: Iterator[tuple[pd.Series, ...]]) -> Iterator[pd.Series]:
+        for key, text, signature, section in it:
+            yield pd.Series([defines(k, t, (a, b), lexicon) for k, t, a, b in zip(key, text, signature, section, strict=True)], dtype=bool)
+
+    section = F.get_json_object("metadata", "$.section")
+    kept = chunks.where(~F.coalesce("is_omitted", F.lit(False))).select("id", "document_id", "chunk_index", "text", "signature", section.alias("section"))
+    asked = keys.select("ref_key").distinct()
+    used = refs.where("chunk_id is not null").select(F.col("chunk_id").alias("id"), "ref_key").distinct()
+    density = used.groupBy("id").agg(F.count(F.lit(1)).alias("density"))
+    citing = used.join(asked, "ref_key", "left_semi").join(kept, "id").withColumn("own", F.lit(False))
+    # Articles of regulations: documents that cite the regulation early.
+    parts = asked.select("ref_key", F.regexp_extract("ref_key", r"^(EU:[^:]+):Art\.(.+)$", 1).alias("act"), F.regexp_extract("ref_key", r"^(EU:[^:]+):Art\.(.+)$", 2).alias("art")).where("act <> ''")
+    early = used.withColumnRenamed("ref_key", "act").join(kept.where("chunk_index <= 2").select("id", "document_id"), "id").select("act", "document_id").distinct()
+    inside = parts.join(early, "act").join(kept, "document_id")
+    named = F.concat_ws(" ", F.col("text"), F.col("signature"), F.col("section")).contains(F.col("art"))
+    of_regulation = inside.where(named).select("id", "ref_key", "document_id", "chunk_index", "text", "signature", "section", F.lit(True).alias("own"))
+    both = citing.select(*of_regulation.columns).unionByName(of_regulation)
+    judged = both.withColumn("site", is_site("ref_key", "text", "signature", "section")).where("site or not own").join(density, "id", "left")
+    first = F.struct(
+        (~F.col("own")).alias("a"), (~F.col("site")).alias("b"), F.when(F.col("site"), F.lit(0)).otherwise(-F.coalesce("density", F.lit(0))).alias("c"), "document_id", "chunk_index", "id"
+    )
+    return judged.groupBy("ref_key").agg(F.min_by("id", first).alias("chunk_id"))
 
 
 def expand_hits(primary: Sequence[int], targets: Sequence[Sequence[int]], k: int) -> list[tuple[int, int]]:
