@@ -170,3 +170,37 @@ def pair_tokens(query: Column, text: Column) -> Column:
     """Token layout of a pair: the query, its end token (or 2), the text without its start."""
     end = F.coalesce(F.try_element_at(query, F.lit(-1)), F.lit(2))
     return F.concat(query, F.array(end), F.when(F.size(text) > 1, F.slice(text, 2, F.size(text))).otherwise(text))
+
+
+def bm25_batch(index: DataFrame, queries: DataFrame, k: int) -> DataFrame:
+    """(query_id, id, score, rank): the k best chunks for each of queries(query_id, query), by single words.
+
+    One pass over the postings for all queries: they meet on the word. Words in
+    more than half of the chunks score next to nothing, but count. A null or
+    wordless query finds nothing.
+    """
+    terms = queries.select("query_id", F.explode(search_tokens(F.coalesce("query", F.lit("")))).alias("term")).groupBy("query_id", "term").agg(F.count(F.lit(1)).alias("weight"))
+    wanted = terms.select("term").distinct()
+    words = index.select("id", "length", F.explode("tokens").alias("term")).join(wanted, "term", "left_semi")
+    tf = words.groupBy("term", "id", "length").agg(F.count(F.lit(1)).alias("tf"))
+    df = tf.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
+    stats = index.agg(F.count(F.lit(1)).alias("n"), F.avg("length").alias("mean"))  # one row
+    idf = F.greatest(F.log((F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5)), F.lit(1e-6))
+    part = idf * F.col("tf") * (BM25_K1 + 1) / (F.col("tf") + BM25_K1 * (1 - BM25_B + BM25_B * F.col("length") / F.col("mean")))
+    weighed = tf.join(df, "term").crossJoin(F.broadcast(stats)).select("term", "id", part.alias("part"))
+    score = terms.join(weighed, "term").groupBy("query_id", "id").agg(F.sum(F.col("part") * F.col("weight")).alias("score"))
+    return top(score, ["query_id"], k)
+
+
+def embedded(texts: DataFrame, embedder: Callable[[list[str]], list[list[float]]], batch: int = 16) -> DataFrame:
+    """(query_id, space, qvec) of texts(query_id, space, text), by an injected embedder, in small batches; vectors get length one."""
+
+    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for part in parts:
+            listed = part["text"].fillna("").tolist()
+            found = [v for i in range(0, len(listed), batch) for v in embedder(listed[i : i + batch])]
+            x = np.asarray(found, dtype=np.float64).reshape(len(part), -1)
+            length = np.linalg.norm(x, axis=1, keepdims=True)
+            yield pd.DataFrame({"query_id": part["query_id"], "space": part["space"], "qvec": list(np.divide(x, length, out=x, where=length > 0))})
+
+    return texts.select("query_id", "space", "text").mapInPandas(run, "query_id long, space long, qvec array<double>")

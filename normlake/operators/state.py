@@ -72,3 +72,11 @@ def symmetric(cache: DataFrame, a: str = "id1", b: str = "id2") -> DataFrame:
     """A pair cache that answers in both orientations."""
     flipped = cache.select(*[F.col(b).alias(a) if c == a else F.col(a).alias(b) if c == b else F.col(c) for c in cache.columns])
     return cache.unionByName(flipped).distinct()
+
+
+def checked_members(members: DataFrame, single: str, kind: str = "kind", pool: str = "pool_id") -> DataFrame:
+    """The new members of each pool, as given; more than one of the kind `single` in a pool is an error."""
+    many = members.where(F.col(kind) == single).groupBy(pool).agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    if not many.isEmpty():
+        raise ValueError(f"a pool has more than one member of kind {single}")
+    return members

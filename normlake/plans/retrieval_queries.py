@@ -240,3 +240,32 @@ _RANKED = [(1, 1), (3, 2), (2, 3), (0, 4)]
 def _(s: SparkSession, d: str) -> DataFrame:
     scored = s.createDataFrame([(0, 0.1), (1, 0.9), (2, 0.5), (3, 0.7)], "id long, score double")
     return R.rank_merge(scored.withColumn("q", F.lit(1)), 4, ["q"]).select("id", F.col("rank").cast("long").alias("rank"))
+
+
+_QTERMS = "translate(lower(coalesce(question, '')), 'äöüàâáéèêëîïíôóòûùúçñãåø', 'aouaaaeeeeiiiooouuucnaao')"
+
+
+@add(
+    "r13_keyword_batch",
+    f"""WITH q AS (SELECT id AS query_id, term, count(*) AS w FROM (SELECT id, unnest(list_filter(regexp_split_to_array({_QTERMS}, '[^\\p{{L}}\\p{{N}}]+'), lambda t: t <> '')) AS term FROM eval_golden_entries) GROUP BY 1, 2),
+    x AS (SELECT id, len(tokens) AS dl, unnest(tokens) AS term FROM {_INDEX}), tf AS (SELECT term, id, dl, count(*) AS tf FROM x GROUP BY 1, 2, 3), df AS (SELECT term, count(*) AS df FROM tf GROUP BY 1),
+    st AS (SELECT count(*) AS n, avg(len(tokens)) AS mean FROM {_INDEX}),
+    sc AS (SELECT query_id, id, sum(w * greatest(ln((n - df + 0.5) / (df + 0.5)), 1e-6) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * dl / mean))) AS score FROM q JOIN tf USING (term) JOIN df USING (term), st GROUP BY 1, 2),
+    r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, id) AS rank FROM sc)
+    SELECT query_id, id, rank, round(score, 4) AS score FROM r WHERE rank <= 5""",
+)
+def _(s: SparkSession, d: str) -> DataFrame:
+    queries = table(s, d, "eval_golden_entries").select(F.col("id").alias("query_id"), F.col("question").alias("query"))
+    found = R.bm25_batch(R.postings(table(s, d, "chunks")), queries, 5)
+    return found.select("query_id", "id", F.col("rank").cast("long").alias("rank"), F.round("score", 4).alias("score"))
+
+
+@add("r5_text_to_hits")
+def _(s: SparkSession, d: str) -> DataFrame:
+    """Questions embedded by an injected embedder, here letter counts; there is no model to compare with."""
+
+    def embedder(texts: list[str]) -> list[list[float]]:
+        return [[float(t.lower().count(chr(97 + i % 26)) + i) for i in range(64)] for t in texts]
+
+    texts = table(s, d, "eval_golden_entries").select(F.col("id").alias("query_id"), (F.col("id") % 2).alias("space"), F.col("question").alias("text"))
+    return R.batch_search(R.embedded(texts, embedder), space(s, d), 5)

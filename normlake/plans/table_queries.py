@@ -367,3 +367,34 @@ def _(s: SparkSession, d: str) -> DataFrame:
     from normlake.operators.evalset import anchor_hits
 
     return anchor_hits(table(s, d, "eval_golden_entries"), chunks(s, d))
+
+
+@add("f11_equal_or_null", "SELECT DISTINCT id FROM ontology_nodes WHERE raw_entity_type = entity_type OR raw_entity_type IS NULL")
+def _(s: SparkSession, d: str) -> DataFrame:
+    return table(s, d, "ontology_nodes").where("raw_entity_type = entity_type or raw_entity_type is null").select("id").distinct()
+
+
+@add("u3_merged_lists", "SELECT 'chunk' AS kind, id FROM chunks WHERE text ILIKE '%Depotquote%' UNION ALL SELECT 'node', id FROM ontology_nodes WHERE description ILIKE '%Depotquote%'")
+def _(s: SparkSession, d: str) -> DataFrame:
+    a = chunks(s, d).where(F.col("text").ilike("%Depotquote%")).select(F.lit("chunk").alias("kind"), "id")
+    b = table(s, d, "ontology_nodes").where(F.col("description").ilike("%Depotquote%")).select(F.lit("node").alias("kind"), "id")
+    return a.unionByName(b)
+
+
+@add("u5_nodes_named_anywhere", "SELECT winner_id AS id FROM ontology_merge_log UNION SELECT loser_id FROM ontology_merge_log UNION SELECT id1 FROM ontology_dedup_cache UNION SELECT id2 FROM ontology_dedup_cache")
+def _(s: SparkSession, d: str) -> DataFrame:
+    log, cache = table(s, d, "ontology_merge_log"), table(s, d, "ontology_dedup_cache")
+    ends = log.select(F.explode(F.array("winner_id", "loser_id")).alias("id")).unionByName(cache.select(F.explode(F.array("id1", "id2")).alias("id")))
+    return ends.distinct()
+
+
+@add("l1_ordered_nodes", "SELECT id, context_id, label FROM ontology_nodes ORDER BY context_id, label, id")
+def _(s: SparkSession, d: str) -> DataFrame:
+    return table(s, d, "ontology_nodes").select("id", "context_id", "label").orderBy("context_id", "label", "id")
+
+
+@add("j10_members_in_order", "SELECT m.community_id, n.label, m.node_id FROM (SELECT DISTINCT * FROM ontology_community_members) m JOIN ontology_nodes n ON n.id = m.node_id ORDER BY 1, 3")
+def _(s: SparkSession, d: str) -> DataFrame:
+    members = table(s, d, "ontology_community_members").distinct()
+    labels = table(s, d, "ontology_nodes").select(F.col("id").alias("node_id"), "label")
+    return members.join(labels, "node_id").select("community_id", "label", "node_id").orderBy("community_id", "node_id")

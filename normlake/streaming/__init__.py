@@ -1 +1 @@
-
+"""Keyed state kept from a stream of changes."""
