@@ -6,6 +6,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def dot(a: Column, b: Column) -> Column:
@@ -44,13 +45,13 @@ def mean_pooled(states: Column, mask: Column) -> Column:
     return F.when((size > 0) & (F.size(used) > 0), F.transform(total, lambda x: x / F.size(used))).otherwise(zero)
 
 
-@F.pandas_udf("binary")
+@F.pandas_udf(T.BinaryType())
 def to_blob(vectors: pd.Series) -> pd.Series:
     """Little-endian 32-bit floats of a vector."""
     return vectors.map(lambda v: None if v is None else np.asarray(v, dtype="<f4").tobytes())
 
 
-@F.pandas_udf("array<float>")
+@F.pandas_udf(T.ArrayType(T.FloatType()))
 def from_blob(blobs: pd.Series) -> pd.Series:
     """The vector of a blob; a length that is no multiple of four is an error."""
 
