@@ -70,7 +70,7 @@ NO_RULE = re.compile(r"\b(?:keine (?:regelung|angabe|aussage|vorschrift|informat
 HEADING = re.compile(r"^[\s*_#>`„“”\"'«»]*(?:antwort|answer|response|réponse|frage|question)\s*:?[\s*_:]*", re.I)
 #: Words after which a sentence goes on.
 GOES_ON = frozenset("der die das den dem des ein eine einen einem einer und oder sowie von zu mit nach für auf im in an bei als bis wenn dass weil wobei insbesondere gemäß nicht the a an of and or by to with for from in on at as that which under because when where if including accordance le la les un une des du de et ou par pour avec dans sur au aux que qui selon car parce lorsque si notamment ainsi".split())
-_ABBREVIATED = re.compile(r"(?:\b(?:Abs|Nr|Art|Satz|Sec|No|al|vgl|ca|bzw|z|B|S|§)\.|(?:^|\s)\d{1,3}\.)$")
+_ABBREVIATED = re.compile(r"(?:\b(?:Abs|Nr|Art|Sec|No|al|vgl|ca|bzw|z|B|S)\.|(?:^|\s)\d{1,3}\.)$")
 _ENDS = re.compile(r"[.!?…][\"'”“»«)\]*`]*$")
 _CITATION = re.compile(r"^(?:\W|§|art\w*\.?|section|abs\.?|satz|nr\.?|l'article|\d+\w?|\(\d+\)|[A-ZÄÖÜ]{3,5}|ja|nein|yes|no|oui|non|mit|ausnahme|von|except|for|under|with|the|exception|of|sauf|dans|le|cas|de|prévu|par|\s)+$", re.I)
 _SPLIT = re.compile(r"(?<=[.!?…])(?<!\b[Aa]bs\.)(?<!\b[Nn]r\.)(?<!\b[Aa]rt\.)(?<!\b\d\.)(?<!\b\d\d\.)(?<!\b\d\d\d\.)[\"'”“»]*\s+|\n+")
@@ -212,6 +212,9 @@ EXAMPLES = (
     (_P[0], "Es tut mir leid. Das ist mir nicht gestattet. Gern helfe ich bei einem anderen Anliegen.", None, "rrr"),
     (_P[0], "Vielen Dank für die Frage. Die Meldung ist in 7 Tagen zu erstatten.", None, "aa"),
     (_P[0], "Die Meldung ist in 7 Tagen zu erstatten. Gern helfe ich bei einem anderen Anliegen.", None, "aa"),
+    (_P[0], "I can't help with that. Please consult a professional.", None, "rr"),
+    (_P[0], "Je ne peux pas répondre à cette question.", None, "r"),
+    (_P[1], "Ich kann diese Frage nicht beantworten. Holen Sie Rat ein.", None, "rr"),
     (_P[0], "The report is to be handed in within 7 days. The firm has to check it.", None, "ff"),
     (_P[0], "Le rapport est à remettre dans un délai de 7 jours.", None, "f"),
     (_P[0], "Die Meldung ist in 7 Tagen zu erstatten. The report is to be handed in within the period.", None, "af"),
