@@ -177,3 +177,15 @@ def label_propagation(edges: DataFrame, rounds: int = 5) -> DataFrame:
         best = votes.groupBy("u").agg(F.max_by("community", F.struct("n", -F.col("community"))).alias("community"))
         labels = cut(best.withColumnRenamed("u", "node_id"))
     return labels
+
+
+def communities_in_view(found: DataFrame, contexts: DataFrame) -> DataFrame:
+    """Communities of the context's active lens or of none; found(id, context_id, lens_id), contexts(context_id, active_lens_id)."""
+    seen = found.join(contexts, "context_id")
+    return seen.where(F.col("lens_id").isNull() | (F.col("lens_id") == F.col("active_lens_id"))).drop("active_lens_id")
+
+
+def cached_summary(found: DataFrame, context_id: int, lens_id: int | None, members_key: str) -> DataFrame:
+    """The summary of a community with the same members under the same lens (null is a lens of its own); the smallest id of several."""
+    same = (F.col("context_id") == context_id) & F.col("lens_id").eqNullSafe(F.lit(lens_id)) & (F.col("members_key") == members_key)
+    return found.where(same & (F.coalesce("summary_text", F.lit("")) != "")).orderBy("id").limit(1).select("id", "summary_text")

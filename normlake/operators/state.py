@@ -80,3 +80,8 @@ def checked_members(members: DataFrame, single: str, kind: str = "kind", pool: s
     if not many.isEmpty():
         raise ValueError(f"a pool has more than one member of kind {single}")
     return members
+
+
+def replace_children(old: DataFrame, new: DataFrame, parent: str) -> DataFrame:
+    """Delete-then-insert: parents named in `new` take its rows, all others keep theirs."""
+    return old.join(new.select(parent).distinct(), parent, "left_anti").unionByName(new.select(*old.columns))

@@ -238,3 +238,55 @@ def _(s: SparkSession, d: str) -> DataFrame:
     done = G.executed_merges(request, n)
     _, left = G.merge_nodes(n, e, done)
     return left.select("id", "source_id", "target_id", "relation_type")
+
+
+#: Communities with one vector under lens 1, lens 2 and none; context 7 shows lens 1, context 8 none.
+_COMMUNITIES = [(1, 7, 1, "1,2", "A"), (2, 7, 2, "1,2", "B"), (3, 7, None, "1,2", "C"), (4, 8, 1, "3", "D"), (5, 8, None, "3", ""), (6, 8, None, "3", "E")]
+
+
+def _communities(s: SparkSession) -> DataFrame:
+    return s.createDataFrame(_COMMUNITIES, "id long, context_id long, lens_id long, members_key string, summary_text string")
+
+
+@add("g5_communities_in_view", values_sql(["id"], [(1,), (3,), (5,), (6,)]))
+def _(s: SparkSession, d: str) -> DataFrame:
+    contexts = s.createDataFrame([(7, 1), (8, None)], "context_id long, active_lens_id long")
+    return G.communities_in_view(_communities(s), contexts).select("id")
+
+
+@add("g11_cached_summary", values_sql(["id", "summary_text"], [(6, "E"), (2, "B")]))
+def _(s: SparkSession, d: str) -> DataFrame:
+    return G.cached_summary(_communities(s), 8, None, "3").unionByName(G.cached_summary(_communities(s), 7, 2, "1,2"))
+
+
+@add("g8_raw_view", f"SELECT e.id, e.source_id, e.target_id, coalesce(e.raw_relation_type, e.relation_type) AS relation FROM {_E} e")
+def _(s: SparkSession, d: str) -> DataFrame:
+    return edges(s, d).select("id", "source_id", "target_id", F.coalesce("raw_relation_type", "relation_type").alias("relation"))
+
+
+@add("m3_settings", "SELECT user_id, event_type, arg_max(value, event_id) AS value, max(event_id) AS event_id FROM events GROUP BY 1, 2")
+def _(s: SparkSession, d: str) -> DataFrame:
+    changes = table(s, d, "events").select("user_id", "event_type", F.col("event_id").alias("seq"), "value", "event_id")
+    return M.last_write(changes, ["user_id", "event_type"])
+
+
+@add("m8_replaced_members", "SELECT DISTINCT community_id, node_id FROM ontology_community_members WHERE community_id % 2 = 0 UNION ALL SELECT community_id, min(node_id) FROM ontology_community_members WHERE community_id % 2 = 1 GROUP BY 1")
+def _(s: SparkSession, d: str) -> DataFrame:
+    """The members of odd communities are replaced by their smallest one; the others stay."""
+    old = table(s, d, "ontology_community_members").distinct()
+    new = old.where("community_id % 2 = 1").groupBy("community_id").agg(F.min("node_id").alias("node_id"))
+    return M.replace_children(old, new, "community_id")
+
+
+@add("g17_nearest_type", f"""WITH t AS (SELECT DISTINCT raw_type, vector::DOUBLE[] AS v FROM ontology_type_vector_cache WHERE embedding_model_id = 1 AND vector IS NOT NULL AND len(vector) = 64 AND list_bool_and(list_transform(vector, lambda x: x IS NOT NULL AND isfinite(x))) AND list_bool_or(list_transform(vector, lambda x: x <> 0))),
+p AS (SELECT a.raw_type, b.raw_type AS profile_type, row_number() OVER (PARTITION BY a.raw_type ORDER BY round(list_cosine_similarity(a.v, b.v), 9) DESC, b.raw_type) AS n FROM t a JOIN t b ON NOT contains(b.raw_type, '_') WHERE contains(a.raw_type, '_'))
+SELECT raw_type, profile_type FROM p WHERE n = 1""")
+def _(s: SparkSession, d: str) -> DataFrame:
+    """Raw types (with an underscore) snapped to the nearest profile type (without one)."""
+    from normlake.operators.retrieval import batch_search
+
+    good = "vector is not null and size(vector) = 64 and forall(vector, x -> x is not null and not isnan(x) and abs(x) < float('infinity')) and exists(vector, x -> x <> 0)"
+    t = table(s, d, "ontology_type_vector_cache").where("embedding_model_id = 1").where(good).select("raw_type", "vector").distinct()
+    raw = t.where("contains(raw_type, '_')").select(F.col("raw_type").alias("query_id"), F.lit(1).alias("space"), F.col("vector").alias("qvec"))
+    profile = t.where("not contains(raw_type, '_')").select(F.col("raw_type").alias("id"), F.lit(1).alias("space"), F.col("vector").alias("vec"))
+    return batch_search(raw, profile, 1).select(F.col("query_id").alias("raw_type"), F.col("id").alias("profile_type"))
