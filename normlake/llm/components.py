@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from normlake.plans.runtime import cut
+from normlake.plans.runtime import cut, lookup_join
 
 #: Rounds of stripping at most, and the shrinkage below which the core is solved instead.
 MAX_ROUNDS, LEAST_SHRINK = 12, 0.1
@@ -122,6 +122,7 @@ def connected_components(pairs: DataFrame, a: str = "a", b: str = "b") -> DataFr
         labels = cut(labels)
     if labels is None:
         return vertices.select(F.col("v").alias("record_id"), F.col("v").alias("group_id"))
-    # Names of groups are arbitrary vertices; the smallest member replaces them.
+    # Names of groups are arbitrary vertices; the smallest member replaces them. A group may hold
+    # any share of the records: large ones are joined apart.
     least = labels.groupBy("label").agg(F.min("v").alias("group_id"))
-    return labels.join(least, "label").select(F.col("v").alias("record_id"), "group_id")
+    return lookup_join(labels, least, "label").select(F.col("v").alias("record_id"), "group_id")
