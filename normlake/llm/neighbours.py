@@ -177,7 +177,11 @@ def scan(model: Quantiser, cell: int, q: np.ndarray, base: np.ndarray, codes: np
 def fit_on(classes: DataFrame, sample: int = SAMPLE) -> Quantiser:
     """The quantiser of classes(class, vec), from at most `sample` vectors in order of a hash."""
     n = classes.count()
-    rows = classes.select("vec").orderBy(F.xxhash64("class", F.lit(3))).limit(sample).toPandas()
+    order = F.xxhash64("class", F.lit(3))
+    # Half as many again as needed, so that no more than that is gathered from all tasks together.
+    share = min(1.0, 1.5 * sample / max(1, n))
+    few = classes.where(F.pmod(order, F.lit(1 << 30)) < int(share * (1 << 30)))
+    rows = few.select("vec").orderBy(order).limit(sample).toPandas()
     x = unit(np.array(rows["vec"].tolist(), dtype=np.float64).reshape(len(rows), -1))
     cells = int(min(MOST_CELLS, max(4, n // CELL_ROWS)))
     return Quantiser.fit(x, cells)
