@@ -5,6 +5,7 @@ from __future__ import annotations
 import json
 import re
 from collections.abc import Iterator, Sequence
+from dataclasses import dataclass
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -143,53 +144,154 @@ def window_table(documents: DataFrame, budget: int, overlap: float, key: str = "
     return documents.select(key, F.explode(all_windows(text)).alias("w")).select(key, "w.*")
 
 
-#: Default roles of lines by pattern, in order of priority. Fixed patterns.
+# Chunks of laid-out lines.
+
+#: Fixed patterns: (priority, role, pattern, flags) of the default profile.
 LINE_PATTERNS = (
-    ("ignore", r"^\s*(?:Seite|Page)?\s*\d+\s*(?:von|of|/)?\s*\d*\s*$"),
-    ("heading", r"^(?:§\s*\d+[a-z]?|Art(?:ikel|\.)\s*\d+[a-z]?|Abschnitt\s+\d+|Kapitel\s+\d+|\d+(?:\.\d+)*\.?)\s+\S"),
-    ("list", r"^\s*(?:[-•–*]|\(?\d+[.)]|\(?[a-z]\))\s+"),
+    (200, "ignore", r"(?:Seite|Page|Bundesgesetzblatt|Amtsblatt|BAnz)", "i"),
+    (110, "heading_l1", r"^(\d+(\.\d+)*\.?|\([a-zA-Z0-9]\))\s+[A-Za-zÄÖÜäöüß].{0,79}$", "i"),
+    (100, "heading_l1", r"^((?:Article|Art\.|§|AT|Kapitel|Abschnitt|TITEL|TITLE|CHAPTER)\s*[\d.a-zA-Z]+)\s*(.*)", "i"),
+    (50, "definition", r"\b(?:means|shall mean|bezeichnet|gilt als|im Sinne)", "i"),
 )
+#: Words of a section under which numbered ones are put.
+MAJOR = ("Art", "§", "Kapitel", "Abschnitt", "TITEL", "TITLE", "CHAPTER")
+
+
+@dataclass(frozen=True)
+class LineProfile:
+    """Patterns of line roles, and the least and most bytes of a chunk. Patterns that do not compile are left out."""
+
+    patterns: tuple[tuple[int, str, str, str], ...] = LINE_PATTERNS
+    least: int = 200
+    most: int = 1500
+
+    def compiled(self) -> list[tuple[str, re.Pattern]]:
+        out = []
+        for _, role, pattern, flags in sorted(self.patterns, key=lambda p: -p[0]):
+            try:
+                out.append((role, re.compile(pattern, re.I * ("i" in flags) | re.M * ("m" in flags))))
+            except re.error:
+                continue
+        return out
+
+    @classmethod
+    def from_triggers(cls, headings: str, definitions: str, ignores: str, most: int) -> LineProfile:
+        """The profile of comma-separated trigger words."""
+        words = [[w.strip() for w in t.split(",") if w.strip()] for t in (headings, definitions, ignores)]
+        shapes = ((100, "heading_l1", r"^((?:{})\s*[\d.a-zA-Z]+)\s*(.*)"), (50, "definition", r"\b(?:{})"), (200, "ignore", "(?:{})"))
+        return cls(tuple((n, role, shape.format("|".join(w)), "i") for (n, role, shape), w in zip(shapes, words, strict=True) if w), 200, most)
 
 
-def structural_chunks(lines: Sequence[tuple[int, int, str, float, bool]], least: int = 80, most: int = 2000, patterns: Sequence[tuple[str, str]] = LINE_PATTERNS) -> list[dict]:
-    """Chunks of a page's lines (page, y, text, font size, bold).
+@dataclass
+class Line:
+    """A line with its role: section and title are what a heading names."""
 
-    A heading, or a gap of more than twice the usual line distance, ends a chunk
-    that has enough text; short leftovers join the chunk before; oversized chunks
-    are cut at lines. Contents lines with dotted leaders are dropped.
+    text: str
+    page: int
+    role: str | None
+    section: str | None
+    title: str | None
+    fresh: bool = True
+
+
+def classified(lines: Sequence[tuple[int, int, str, float, bool]], profile: LineProfile) -> list[Line]:
+    """Roles of lines (page, y in tenths, text, font size, bold); contents lines and ignored ones are gone.
+
+    A short line without a role that opens a paragraph in large or bold type is
+    a heading, too. Large is a tenth above the mean size over all characters.
     """
-    compiled = [(role, re.compile(p)) for role, p in patterns]
-    usual = sorted(size for *_, size, _ in lines)[len(lines) // 2] if lines else 0
-    gaps = sorted(b[1] - a[1] for a, b in zip(lines, lines[1:], strict=False) if a[0] == b[0] and b[1] > a[1])
-    step = gaps[len(gaps) // 2] if gaps else 0
-    out: list[dict] = []
-    now: list[str] = []
-    section = None
-
-    def flush(heading: str | None) -> None:
-        nonlocal section
-        text = "\n".join(now)
-        if text and out and len(text.encode()) < least:
-            out[-1]["text"] += "\n" + text
-        elif text:
-            out.append({"text": text, "section": section})
-        now.clear()
-        section = heading or section
-
-    before = None
-    for page, y, text, size, bold in lines:
-        if re.search(r"\.{3,}.*\d\s*$", text):
+    compiled = profile.compiled()
+    chars = sum(len(t) for _, _, t, _, _ in lines)
+    mean = sum(size * len(t) for _, _, t, size, _ in lines) / chars if chars else 0.0
+    out: list[Line] = []
+    above: tuple[int, int] | None = None
+    for page, y, raw, size, bold in lines:
+        text = raw.strip()
+        if not text or ("..." in text and text[-1].isnumeric()):
             continue
-        role = next((r for r, p in compiled if p.search(text)), None)
-        if role == "ignore" or not text.strip():
+        role, m = next(((r, f) for r, p in compiled if (f := p.search(text))), (None, None))
+        if role == "ignore":
             continue
-        heading = role == "heading" and (bold or size > usual)
-        gap = before is not None and (page != before[0] or (step and y - before[1] > 2 * step))
+        fresh = above is None or above[0] != page or abs(above[1] - y) / 10 > 1.5 * size
+        above = (page, y)
+        section = title = None
+        if role and role.startswith("heading"):
+            groups = [g.strip() if g is not None else None for g in m.groups()]
+            section, title = (groups + [None, None])[:2] if groups else (None, text)
+        elif role is None and fresh and len(text.encode()) < 80 and text[-1] not in ".,:;" and (size > 1.1 * mean or bold):
+            role, title = "heading_l1", text
+        out.append(Line(text, page, role, section, title, fresh))
+    return out
+
+
+def _overlong(text: str, most: int) -> int | None:
+    """Byte at which an overlong text is cut: after the sentence that passes `most`, never the first alone."""
+    ends = [b for _, b, _ in sentences(text)]
+    if len(ends) < 2:
+        return None
+    at = next((i for i, b in enumerate(ends) if b > most), len(ends) - 1)
+    return ends[max(1, at)]
+
+
+def structural_chunks(lines: Sequence[tuple[int, int, str, float, bool]], profile: LineProfile | None = None) -> list[dict]:
+    """Chunks of laid-out lines: text, section, title, page, signature.
+
+    A heading begins a chunk; a definition or a numbered paragraph does once the
+    chunk has `least` bytes, any paragraph once it has `most`. Below a major
+    section a numbered heading is named after both. A chunk shorter than `least`
+    joins the one before it, across sections; one above twice `most` is cut at a
+    sentence.
+    """
+    profile = profile or LineProfile()
+    out: list[dict] = []
+    body = ""
+    page = section = title = major = None
+
+    def flush(text: str) -> None:
+        bare = text.strip()
+        if bare and out and len(bare.encode()) < profile.least:
+            out[-1]["text"] += "\n" + bare
+        elif bare:
+            out.append({"text": text, "section": section or "", "title": title or "", "page": (page or 0) + 1, "signature": bare[:80]})
+
+    for line in classified(lines, profile):
+        heading = bool(line.role) and line.role.startswith("heading")
+        size = len(body.encode())
+        opens = line.role == "definition" or (line.fresh and line.text[0] in "0123456789")
+        if bool(body.strip()) if heading else size >= profile.least if opens else line.fresh and size >= profile.most:
+            flush(body)
+            body = ""
         if heading:
-            flush(text.strip())
-        elif (gap or sum(map(len, now)) > most) and sum(len(t.encode()) for t in now) >= least:
-            flush(None)
-        now.append(text.strip())
-        before = (page, y)
-    flush(None)
+            if line.section is not None:
+                if any(w in line.section for w in MAJOR):
+                    major = section = line.section
+                else:
+                    section = f"{major} {line.section}" if major else line.section
+            if line.title is not None:
+                title = line.title
+            elif line.section is None:
+                title = line.text
+        if not body:
+            page = line.page
+        body += line.text + "\n"
+        if len(body.encode()) > 2 * profile.most and (cut_at := _overlong(body, profile.most)):
+            raw = body.encode()
+            flush(raw[:cut_at].decode())
+            body, page = raw[cut_at:].decode().lstrip(), line.page
+    flush(body)
     return out
+
+
+def structural_table(lines: DataFrame, profile: LineProfile | None = None) -> DataFrame:
+    """(doc_id, chunk_index, text, section, title, page, signature) of lines(doc_id, page, y, line_no, text, size, bold), per document."""
+
+    def one(rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.sort_values(["page", "line_no"])
+        found = structural_chunks(list(rows[["page", "y", "text", "size", "bold"]].itertuples(index=False, name=None)), profile)
+        table = pd.DataFrame(found, columns=["text", "section", "title", "page", "signature"])
+        table.insert(0, "chunk_index", range(len(table)))
+        table.insert(0, "doc_id", rows["doc_id"].iloc[0])
+        return table
+
+    schema = "doc_id long, chunk_index long, text string, section string, title string, page long, signature string"
+    return lines.groupBy("doc_id").applyInPandas(one, schema)

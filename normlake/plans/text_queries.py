@@ -243,15 +243,39 @@ def _(s: SparkSession, d: str) -> DataFrame:
     return s.createDataFrame(rows, "name string, chunk_index long, char_start long, char_end long, text string, section string")
 
 
-_LONG = "Ein hinreichend langer Absatz, der für sich allein schon die kleinste Länge eines Chunks erreicht und übertrifft."
-_STRUCTURAL = [("plain", 1), ("heading", 2), ("tail", 1)]
+_LONG = "Das Institut hat den Bericht vorzulegen und die Frist zu wahren. " * 4
+_STRUCTURAL = [
+    ("gap", 0, "Art. 1", "Begriffsbestimmungen"),
+    ("heading", 0, "", ""),
+    ("heading", 1, "Art. 1", "Begriffsbestimmungen"),
+    ("plain", 0, "", ""),
+    ("tail", 0, "", ""),
+]
 
 
-@add("c7_structural", values_sql(["name", "n"], _STRUCTURAL))
+@add("c7_structural", values_sql(["name", "chunk_index", "section", "title"], _STRUCTURAL))
 def _(s: SparkSession, d: str) -> DataFrame:
+    """No gap gives one chunk; a heading begins one, unless nothing stands before it; a short tail joins the chunk before."""
+    head = "Art. 1 Begriffsbestimmungen"
     cases = {
-        "plain": [(1, 100, _LONG, 10.0, False), (1, 112, _LONG, 10.0, False)],
-        "heading": [(1, 100, _LONG, 10.0, False), (1, 112, _LONG, 10.0, False), (1, 160, "Art. 1 Begriffsbestimmungen", 12.0, True), (1, 172, _LONG, 10.0, False)],
-        "tail": [(1, 100, _LONG, 10.0, False), (1, 112, "Inhalt ........ 3", 10.0, False), (1, 124, "Schluss.", 10.0, False)],
+        "plain": [(_LONG, 10.0, 100), (_LONG, 10.0, 220)],
+        "heading": [(_LONG, 10.0, 100), (head, 10.0, 400), (_LONG, 10.0, 520)],
+        "gap": [(head, 10.0, 100), (_LONG, 10.0, 220)],
+        "tail": [(_LONG, 10.0, 100), ("Inhalt ........ 3", 10.0, 220), ("7 kurzer Schluss.", 10.0, 600)],
     }
-    return s.createDataFrame([(k, len(C.structural_chunks(v))) for k, v in cases.items()], "name string, n long")
+    rows = [(i, 0, y, n, t, size, False) for i, c in enumerate(cases.values()) for n, (t, size, y) in enumerate(c)]
+    lines = s.createDataFrame(rows, "doc_id long, page long, y long, line_no long, text string, size double, bold boolean")
+    names = s.createDataFrame(list(enumerate(cases)), "doc_id long, name string")
+    # Numbered paragraphs of the last case are no headings under a profile of trigger words.
+    profile = C.LineProfile.from_triggers("Art., §", "bezeichnet", "Amtsblatt", 1500)
+    return C.structural_table(lines, profile).join(names, "doc_id").select("name", "chunk_index", "section", "title")
+
+
+_TRIGGERS = [("§ 5 Meldung", "heading_l1"), ("im Sinne dieses Gesetzes", "definition"), ("Amtsblatt der Union", "ignore"), ("Ein Satz.", "")]
+
+
+@add("c9_trigger_words", values_sql(["text", "role"], _TRIGGERS))
+def _(s: SparkSession, d: str) -> DataFrame:
+    compiled = C.LineProfile.from_triggers("§, Art.", "im Sinne, bezeichnet", "Amtsblatt", 1000).compiled()
+    rows = [(t, next((r for r, p in compiled if p.search(t)), "")) for t, _ in _TRIGGERS]
+    return s.createDataFrame(rows, "text string, role string")

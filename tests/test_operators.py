@@ -147,3 +147,19 @@ def test_store_and_stream(spark, tmp_path):
     assert store.read("t").count() == 3
     write_json(store.read("t"), str(tmp_path / "json"))
     assert spark.read.json(str(tmp_path / "json")).count() == 3
+
+
+def test_structural_rules():
+    long = "Das Institut hat den Bericht vorzulegen. " * 6
+    numbered = [(0, 100, "§ 1 Anwendung", 10.0, False), (0, 220, long, 10.0, False), (0, 340, "(1) Meldung der Daten", 10.0, False), (0, 460, long, 10.0, False)]
+    got = chunking.structural_chunks(numbered)
+    assert [c["section"] for c in got] == ["§ 1", "§ 1 (1)"]
+    # A bold short line that opens a paragraph is a heading; page numbers and contents lines go.
+    bold = [(0, 100, long, 10.0, False), (0, 600, "Zweiter Teil", 10.0, True), (0, 720, long, 10.0, False), (1, 50, "Seite 3", 10.0, False), (1, 90, "Meldung ..... 7", 10.0, False)]
+    assert [c["title"] for c in chunking.structural_chunks(bold)] == ["", "Zweiter Teil"]
+    # Overlong text is cut at sentences and nothing is lost.
+    text = "Ein Satz mit Wörtern. " * 300
+    cut = chunking.structural_chunks([(0, 100, text, 10.0, False), (0, 220, text, 10.0, False)])
+    assert len(cut) > 1 and "".join("".join(c["text"].split()) for c in cut) == "".join((text * 2).split())
+    assert chunking.structural_chunks([]) == []
+    assert chunking.LineProfile(patterns=((1, "heading_l1", "(", "i"),)).compiled() == []
