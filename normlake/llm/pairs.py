@@ -72,7 +72,8 @@ HEADING = re.compile(r"^[\s*_#>`„“”\"'«»]*(?:antwort|answer|response|ré
 GOES_ON = frozenset("der die das den dem des ein eine einen einem einer und oder sowie von zu mit nach für auf im in an bei als bis wenn dass weil wobei insbesondere gemäß nicht the a an of and or by to with for from in on at as that which under because when where if including accordance le la les un une des du de et ou par pour avec dans sur au aux que qui selon car parce lorsque si notamment ainsi".split())
 _ABBREVIATED = re.compile(r"(?:\b(?:Abs|Nr|Art|Sec|No|al|vgl|ca|bzw|z|B|S)\.|(?:^|\s)\d{1,3}\.)$")
 _ENDS = re.compile(r"[.!?…][\"'”“»«)\]*`]*$")
-_CITATION = re.compile(r"^(?:\W|§|art\w*\.?|section|abs\.?|satz|nr\.?|l'article|\d+\w?|\(\d+\)|[A-ZÄÖÜ]{3,5}|ja|nein|yes|no|oui|non|mit|ausnahme|von|except|for|under|with|the|exception|of|sauf|dans|le|cas|de|prévu|par|\s)+$", re.I)
+#: Words that a bare citation, with or without a yes or no, is made of.
+CITING = frozenset("art artikel article section abs satz nr l ja nein yes no oui non mit ausnahme von except for under with the exception of sauf dans le cas de prévu par".split())
 _SPLIT = re.compile(r"(?<=[.!?…])(?<!\b[Aa]bs\.)(?<!\b[Nn]r\.)(?<!\b[Aa]rt\.)(?<!\b\d\.)(?<!\b\d\d\.)(?<!\b\d\d\d\.)[\"'”“»]*\s+|\n+")
 _WORD = re.compile(r"[^\W_]+")
 _ITEM = re.compile(r"^\s*(?:[-*•·–]|\d+[.)]|[a-z]\))(?:\s+|$)|^\s*\|")
@@ -127,6 +128,11 @@ def unwrap(response: str) -> tuple[str, bool]:
     return re.sub(r"[ \t\xa0​﻿]+", " ", text).strip(), broken
 
 
+def _citation(text: str) -> bool:
+    """Whether a text is a citation and nothing else: numbers, words of CITING, acts in capitals."""
+    return all(w[0].isdigit() or w.lower() in CITING or (3 <= len(w) <= 5 and w.isupper()) for w in _WORD.findall(text))
+
+
 def _open_end(clause: str, item: bool, lang: str | None, after_text: bool) -> bool:
     """Whether a last clause without more to come goes on nowhere."""
     bare = clause.strip()
@@ -147,7 +153,7 @@ def _open_end(clause: str, item: bool, lang: str | None, after_text: bool) -> bo
         return True
     if item:
         return lang == "de" and len(words(body)) > 1 and body.split()[-1][:1].islower()
-    return (after_text or len(words(body)) > 5) and not _CITATION.match(body)
+    return (after_text or len(words(body)) > 5) and not _citation(body)
 
 
 def clauses(prompt: str, response: str, error: str | None) -> tuple[list[str], np.ndarray]:

@@ -155,6 +155,8 @@ P = "Welche Frist gilt für die Meldung des Kontos?"
         ("Die Bank kann dies nicht verweigern, da § 4 es nicht gestattet.", None, None),
         ("The report is to be handed in within the period by the firm.", None, "other_language"),
         ("Die Meldung ist abzugeben. Das Konto ist nach der", None, "truncated"), ('{"answer": "Die Meldung ist', None, "truncated"), ("Das Konto umfasst:\n- den Bericht\n- ", None, "truncated"),
+        ("Die Meldung ist abzugeben. Für das konsolidierte Währung", None, "truncated"), ("Die Meldung ist abzugeben. Bei der Förder", None, "truncated"),
+        ("Ja, mit Ausnahme von § 77 Satz 1 Nr. 10 VERG", None, None),
         ("Die Meldung ist abzugeben. ", "finish_reason=length", "truncated"), ("```\nDie Meldung ist abzugeben.\n```", None, None), ("Satz. " * 5000, None, None),
     ],
 )
