@@ -258,6 +258,15 @@ def _(s: SparkSession, d: str) -> DataFrame:
     return ascii_.groupBy("context_id", fold_ascii(F.col("ref_key")).alias("k")).agg(F.min("id").alias("id"), F.min("created_at").alias("created_at"))
 
 
+_FOLD = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+
+
+@add("a12_first_of_every_key", f"SELECT context_id, {_FOLD.format('ref_key')} AS k, min(id) AS id, min(created_at) AS created_at FROM chunk_refs GROUP BY 1, 2")
+def _(s: SparkSession, d: str) -> DataFrame:
+    """As a12_first_of_natural_key, over every key of the table, those with characters outside ASCII included."""
+    return table(s, d, "chunk_refs").groupBy("context_id", fold_ascii(F.col("ref_key")).alias("k")).agg(F.min("id").alias("id"), F.min("created_at").alias("created_at"))
+
+
 @add("a14_mean_length", "SELECT context_id, round(avg(length(text)), 4) AS mean FROM chunks GROUP BY context_id")
 def _(s: SparkSession, d: str) -> DataFrame:
     return chunks(s, d).groupBy("context_id").agg(F.round(F.avg(F.length("text")), 4).alias("mean"))
@@ -325,6 +334,12 @@ def _(s: SparkSession, d: str) -> DataFrame:
     return plain.groupBy("context_id", fold_ascii(F.col("label")).alias("k")).agg(F.min("id").alias("id"))
 
 
+@add("l8_every_label", f"SELECT context_id, {_FOLD.format('label')} AS k, min(id) AS id FROM ontology_nodes GROUP BY 1, 2")
+def _(s: SparkSession, d: str) -> DataFrame:
+    """As l8_label_lookup, over every label of the table, those with characters outside ASCII included."""
+    return table(s, d, "ontology_nodes").groupBy("context_id", fold_ascii(F.col("label")).alias("k")).agg(F.min("id").alias("id"))
+
+
 @add("u1_end_counts", f"SELECT node_id, side, count(*) AS n FROM (SELECT source_id AS node_id, 'source' AS side FROM {_EDGES} UNION ALL SELECT target_id, 'target' FROM {_EDGES}) WHERE node_id IS NOT NULL GROUP BY 1, 2")
 def _(s: SparkSession, d: str) -> DataFrame:
     e = table(s, d, "ontology_edges").select("id", "source_id", "target_id").distinct()
