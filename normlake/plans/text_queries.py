@@ -86,6 +86,8 @@ def _(s: SparkSession, d: str) -> DataFrame:
 
 #: The acts of the tables' texts are invented; as an own lexicon they are recognised.
 TABLE_ACTS = "ausv betg depg divo emiv foeg grkv inrg krvg liqv mepv netv ofag pfhg sang truv verg wpav zasg zugv".split()
+#: With the built-in acts beside them.
+TABLE_LEXICON = N.Lexicon.of([(a, [N.ACT_NAMES[a]] if a in N.ACT_NAMES else [], True) for a in (*N.ACTS, *TABLE_ACTS)])
 
 
 @add(
@@ -99,6 +101,13 @@ def _(s: SparkSession, d: str) -> DataFrame:
     return found.where("kind = 'paragraph'").select("chunk_id", "ref_key").distinct()
 
 
+@add("n9_all_references")
+def _(s: SparkSession, d: str) -> DataFrame:
+    """References of every kind in all chunks that are not omitted; SQL has no grammar for them, so tested against a plain loop."""
+    found = N.extract(table(s, d, "chunks"), TABLE_LEXICON)
+    return found.select("chunk_id", "context_id", "ref_key", "kind").distinct()
+
+
 @add("n10_reverse_lookup", "SELECT ref_key, count(DISTINCT chunk_id) AS chunks FROM chunk_refs WHERE chunk_id IN (SELECT id FROM chunks) GROUP BY 1")
 def _(s: SparkSession, d: str) -> DataFrame:
     own = table(s, d, "chunks").select(F.col("id").alias("chunk_id"))

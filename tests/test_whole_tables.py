@@ -4,9 +4,13 @@ from __future__ import annotations
 
 from datetime import datetime
 
-from normlake.plans import table_queries
+from normlake.operators import refs as N
+from normlake.plans import table_queries, text_queries
+from normlake.plans.runtime import table
 from tests.conftest import rows
 
+DATA = "/root/testdata/sf0.001"
+
 
 def test_keys_and_labels_outside_ascii(spark, tmp_path):
     early, late = datetime(2024, 1, 1), datetime(2024, 2, 1)
@@ -19,3 +23,31 @@ def test_keys_and_labels_outside_ascii(spark, tmp_path):
     # Only ASCII letters fold.
     got = rows(table_queries.QUERIES["l8_every_label"](spark, str(tmp_path)))
     assert got == {(5, "Über bank", 7), (5, "über bank", 9), (5, "bank", 10)}
+
+
+def test_references_of_every_kind(spark, tmp_path):
+    texts = [
+        (1, 5, "Nach Artikel 279 Absatz 4 AUSV und § 12 BETG.", False),
+        (2, 5, "Art. 92 CRR; die Verordnung (EU) Nr. 575/2013; Siehe AT 4.3.2.", False),
+        (3, 5, "§§ 13 bis 14 DEPG", True),
+        (4, 6, "§§ 13 bis 14 des Kreditwesengesetzes", False),
+        (5, 6, "Nichts davon.", False),
+        (6, 6, None, False),
+    ]
+    spark.createDataFrame(texts, "id long, context_id long, text string, is_omitted boolean").write.parquet(f"{tmp_path}/chunks.parquet")
+    assert rows(text_queries.QUERIES["n9_all_references"](spark, str(tmp_path))) == {
+        (1, 5, "AUSV:Art.279", "article"),
+        (1, 5, "BETG:§12", "paragraph"),
+        (2, 5, "CRR:Art.92", "article"),
+        (2, 5, "EU:2013/575", "regulation"),
+        (2, 5, "MARISK:AT4.3.2", "module"),
+        (4, 6, "KWG:§13", "paragraph"),
+        (4, 6, "KWG:§14", "paragraph"),
+    }
+
+
+def test_references_of_all_chunks_equal_a_plain_loop(spark):
+    chunks = table(spark, DATA, "chunks").select("id", "context_id", "text", "is_omitted").collect()
+    want = {(c.id, c.context_id, key, kind) for c in chunks if not c.is_omitted for key, kind, _, _ in N.references(c.text, text_queries.TABLE_LEXICON)}
+    got = rows(text_queries.QUERIES["n9_all_references"](spark, DATA))
+    assert got == want and {kind for *_, kind in got} >= {"paragraph", "article"}
