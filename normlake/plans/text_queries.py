@@ -6,13 +6,17 @@ SQL where it can say the same.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from normlake.operators import chunking as C
 from normlake.operators import refs as N
+from normlake.operators import retrieval as R
 from normlake.plans.registry import Registry, values_sql
-from normlake.plans.runtime import table
+from normlake.plans.runtime import cut, table
 
 registry = Registry()
 QUERIES, SQL = registry.queries, registry.sql
@@ -178,6 +182,20 @@ def _(s: SparkSession, d: str) -> DataFrame:
     return N.expand_all(rows, 5)
 
 
+@add("n16_expanded_questions")
+def _(s: SparkSession, d: str) -> DataFrame:
+    """The five best chunks of every golden question, expanded by the sites of what they cite, in order of the citations."""
+    queries = table(s, d, "eval_golden_entries").select(F.col("id").alias("query_id"), F.col("question").alias("query"))
+    chunks, refs = table(s, d, "chunks"), table(s, d, "chunk_refs")
+    hits = cut(R.bm25_batch(R.postings(chunks), queries, 5).select("query_id", "rank", F.col("id").alias("chunk_id")))
+    cited = refs.where("ref_key is not null").join(hits.select("chunk_id").distinct(), "chunk_id", "left_semi").groupBy("chunk_id", "ref_key").agg(F.min("id").alias("id"))
+    cited = cut(cited)
+    sites = N.resolve(cited.select("ref_key"), chunks, refs, TABLE_LEXICON).withColumnRenamed("chunk_id", "site")
+    targets = cited.join(sites, "ref_key").groupBy("chunk_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("id", "ref_key", "site"))), lambda x: x["site"]).alias("targets"))
+    rows = hits.join(targets, "chunk_id", "left").select("query_id", "rank", "chunk_id", F.coalesce("targets", F.array().cast("array<long>")).alias("targets"))
+    return N.expand_all(rows, 5)
+
+
 @add("n17_refs_of_chunk", "SELECT DISTINCT chunk_id, id, ref_key FROM chunk_refs WHERE context_id = 3")
 def _(s: SparkSession, d: str) -> DataFrame:
     return table(s, d, "chunk_refs").where("context_id = 3").select("chunk_id", "id", "ref_key").distinct().orderBy("chunk_id", "id")
@@ -234,6 +252,24 @@ def _(s: SparkSession, d: str) -> DataFrame:
     return found.withColumn("gap", F.coalesce(gap, F.lit(0))).groupBy(F.col("id").alias("doc_id")).agg(F.min("first").alias("first"), F.sum("gap").alias("gaps"))
 
 
+@add("c1_chunk_sentences")
+def _(s: SparkSession, d: str) -> DataFrame:
+    """The sentences of every chunk."""
+
+    @F.pandas_udf("array<struct<start long, end long, sentence string>>")
+    def cut_all(it: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for texts in it:
+            yield texts.map(lambda t: [{"start": a, "end": b, "sentence": x} for a, b, x in C.sentences(t)] if t else [])
+
+    return table(s, d, "chunks").select("id", F.posexplode(cut_all("text")).alias("idx", "s")).select("id", "idx", "s.*")
+
+
+@add("c2_chunk_segments")
+def _(s: SparkSession, d: str) -> DataFrame:
+    """The segments of every chunk."""
+    return C.segment_table(table(s, d, "chunks"), key="id")
+
+
 _BODY = "A eins. B zwei. C drei. D vier. E fuenf."
 _ASSEMBLED = [
     ("two", 0, 0, 15, "A eins.\nB zwei.", None),

@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+import json
+import re
+from collections import Counter
 from datetime import datetime
 
+from normlake.operators import chunking as C
 from normlake.operators import refs as N
-from normlake.plans import table_queries, text_queries
+from normlake.plans import retrieval_queries, table_queries, text_queries
 from normlake.plans.runtime import table
 from tests.conftest import rows
 
@@ -51,3 +55,59 @@ def test_references_of_all_chunks_equal_a_plain_loop(spark):
     want = {(c.id, c.context_id, key, kind) for c in chunks if not c.is_omitted for key, kind, _, _ in N.references(c.text, text_queries.TABLE_LEXICON)}
     got = rows(text_queries.QUERIES["n9_all_references"](spark, DATA))
     assert got == want and {kind for *_, kind in got} >= {"paragraph", "article"}
+
+
+def section(metadata: str | None) -> str | None:
+    try:
+        found = json.loads(metadata or "")
+        return found.get("section") if isinstance(found, dict) else None
+    except ValueError:
+        return None
+
+
+def sites(chunks: list, refs: list) -> dict[str, int]:
+    """The site of every key, one key at a time."""
+    kept = {c.id: c for c in chunks if not c.is_omitted}
+    used = {(r.chunk_id, r.ref_key) for r in refs if r.chunk_id is not None}
+    density = Counter(c for c, _ in used)
+    out = {}
+    for key in {r.ref_key for r in refs if r.ref_key is not None}:
+        found = []
+        of_key = [(kept[c], False) for c, k in used if k == key and c in kept]
+        if m := re.fullmatch(r"(EU:[^:]+):Art\.(.+)", key):
+            documents = {kept[c].document_id for c, k in used if k == m[1] and c in kept and kept[c].chunk_index <= 2}
+            of_key += [(c, True) for c in kept.values() if c.document_id in documents and m[2] in " ".join(x for x in (c.text, c.signature, section(c.metadata)) if x)]
+        for c, own in of_key:
+            site = N.defines(key, c.text, (c.signature, section(c.metadata)), text_queries.TABLE_LEXICON)
+            if site or not own:
+                found.append((not own, not site, 0 if site else -density[c.id], c.document_id, c.chunk_index, c.id))
+        if found:
+            out[key] = min(found)[-1]
+    return out
+
+
+def test_sites_of_all_keys_and_expansion_of_all_questions(spark):
+    chunks, refs = table(spark, DATA, "chunks").collect(), table(spark, DATA, "chunk_refs").collect()
+    want = sites(chunks, refs)
+    hits: dict[int, list] = {}
+    for r in retrieval_queries.QUERIES["r13_keyword_batch"](spark, DATA).collect():
+        hits.setdefault(r.query_id, []).append((r["rank"], r.id))
+    expanded = set()
+    for query, own in hits.items():
+        primary = [c for _, c in sorted(own)]
+        targets = []
+        for c in primary:
+            first: dict[str, int] = {}
+            for r in sorted((r for r in refs if r.chunk_id == c and r.ref_key is not None), key=lambda r: r.id):
+                first.setdefault(r.ref_key, r.id)
+            targets.append([want[k] for k in first if k in want])
+        expanded |= {(query, c, rank) for c, rank in N.expand_hits(primary, targets, 5)}
+    assert rows(text_queries.QUERIES["n16_expanded_questions"](spark, DATA)) == expanded and expanded
+
+
+def test_pieces_of_all_chunks_equal_a_plain_loop(spark):
+    texts = [(c.id, c.text) for c in table(spark, DATA, "chunks").collect() if c.text]
+    got = rows(text_queries.QUERIES["c1_chunk_sentences"](spark, DATA))
+    assert got == {(i, n, *s) for i, t in texts for n, s in enumerate(C.sentences(t))}
+    got = rows(text_queries.QUERIES["c2_chunk_segments"](spark, DATA))
+    assert got == {(i, n, *s) for i, t in texts for n, s in enumerate(C.segments(t))}
