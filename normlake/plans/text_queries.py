@@ -170,6 +170,13 @@ def _(s: SparkSession, d: str) -> DataFrame:
     return N.resolve(refs.where("ref_key is not null").select("ref_key"), table(s, d, "chunks"), refs).select("ref_key")
 
 
+@add("n15_definition_sites")
+def _(s: SparkSession, d: str) -> DataFrame:
+    """The chunk that every cited key points to, over the whole tables; tested against a plain loop."""
+    refs = table(s, d, "chunk_refs")
+    return N.resolve(refs.where("ref_key is not null").select("ref_key"), table(s, d, "chunks"), refs, TABLE_LEXICON)
+
+
 _ADDED = [(1, 100, 1), (1, 101, 2), (1, 103, 3), (2, 200, 2)]
 
 
@@ -270,6 +277,12 @@ def _(s: SparkSession, d: str) -> DataFrame:
     return C.segment_table(table(s, d, "chunks"), key="id")
 
 
+@add("c4_chunk_windows")
+def _(s: SparkSession, d: str) -> DataFrame:
+    """The windows of every chunk with their texts."""
+    return C.window_table(table(s, d, "chunks"), 60, 0.2, key="id")
+
+
 _BODY = "A eins. B zwei. C drei. D vier. E fuenf."
 _ASSEMBLED = [
     ("two", 0, 0, 15, "A eins.\nB zwei.", None),

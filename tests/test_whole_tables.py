@@ -89,6 +89,7 @@ def sites(chunks: list, refs: list) -> dict[str, int]:
 def test_sites_of_all_keys_and_expansion_of_all_questions(spark):
     chunks, refs = table(spark, DATA, "chunks").collect(), table(spark, DATA, "chunk_refs").collect()
     want = sites(chunks, refs)
+    assert rows(text_queries.QUERIES["n15_definition_sites"](spark, DATA)) == set(want.items()) and want
     hits: dict[int, list] = {}
     for r in retrieval_queries.QUERIES["r13_keyword_batch"](spark, DATA).collect():
         hits.setdefault(r.query_id, []).append((r["rank"], r.id))
@@ -111,3 +112,5 @@ def test_pieces_of_all_chunks_equal_a_plain_loop(spark):
     assert got == {(i, n, *s) for i, t in texts for n, s in enumerate(C.sentences(t))}
     got = rows(text_queries.QUERIES["c2_chunk_segments"](spark, DATA))
     assert got == {(i, n, *s) for i, t in texts for n, s in enumerate(C.segments(t))}
+    got = rows(text_queries.QUERIES["c4_chunk_windows"](spark, DATA))
+    assert got == {(i, *w.values()) for i, t in texts for w in C.windows(C.segments(t), 60, 0.2)}
