@@ -7,6 +7,7 @@ is stated beside the call.
 from __future__ import annotations
 
 import tempfile
+import uuid
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -24,21 +25,45 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """Use the shared folder the cluster names; fall back to a temp folder only where none is set."""
+def shared_dir(spark: SparkSession) -> str:
+    """The folder for intermediate tables that all executors reach.
+
+    The one that is set, else the one the cluster names in spark.checkpoint.dir.
+    A temporary folder serves only a session that runs in one process; on a
+    cluster without a named folder this is an error.
+    """
     sc = spark.sparkContext
-    if sc._jsc.sc().getCheckpointDir().isDefined():
-        return
+    held = sc._jsc.sc().getCheckpointDir()
+    if held.isDefined():
+        return held.get()
     named = spark.conf.get("spark.checkpoint.dir", None)
-    sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="normlake-checkpoint-"))
+    if not named:
+        if not sc.master.split("[")[0] == "local":
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+        named = tempfile.mkdtemp(prefix="normlake-checkpoint-")
+    sc.setCheckpointDir(named)
+    return sc._jsc.sc().getCheckpointDir().get()
 
 
 def cut(df: DataFrame) -> DataFrame:
     """Cut the lineage durably: a reliable checkpoint that survives the loss of executors."""
-    ensure_checkpoint_dir(df.sparkSession)
+    shared_dir(df.sparkSession)
     return df.checkpoint(eager=True)
 
 
+def stored(df: DataFrame) -> DataFrame:
+    """Cut the lineage by a compressed table in the shared folder; later reads take only the columns they need."""
+    spark = df.sparkSession
+    at = f"{shared_dir(spark)}/{uuid.uuid4().hex}"
+    df.write.option("compression", "zstd").parquet(at)
+    return spark.read.schema(df.schema).parquet(at)
+
+
+def partitions(spark: SparkSession, rows: int, each: int) -> int:
+    """Tasks of a shuffle of so many rows, `each` in one: the session's number of partitions or more."""
+    return max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-rows // each))
+
+
 def hot_keys(df: DataFrame, key: str, min_rows: int = MIN_HOT_ROWS) -> list:
     """Keys that hold more than max(min_rows, rows / MAX_HOT_KEYS) rows.
 
