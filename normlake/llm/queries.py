@@ -126,7 +126,35 @@ f AS (SELECT session_id, arg_min(speaker, turn) AS first, bool_or(speaker = 'ass
 d AS (SELECT s.session_id, CASE WHEN f.session_id IS NULL THEN 'empty' WHEN unreadable OR first <> 'user' OR coalesce(doubled, false) THEN 'broken'
   WHEN unanswered THEN 'no_reply' END AS defect FROM s LEFT JOIN f USING (session_id))
 """
+_USABLE = "len(list_filter({0}, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0 AND len(list_filter({0}, lambda x: x <> 0)) > 0"
+_NODE_VECTORS = f"""SELECT id, any_value(context_id) AS context_id, any_value(vector_blob)::DOUBLE[] AS vec FROM ontology_nodes
+  WHERE id IS NOT NULL AND context_id IS NOT NULL AND len(vector_blob) = {NODE_SIZE} AND {_USABLE.format("vector_blob")} GROUP BY id"""
 SQL = {
+    # All pairs of a part, each with the rank it has on either side.
+    "p1_found": f"""
+WITH v AS (SELECT 'node' AS collection, context_id AS part, id::VARCHAR AS key, vec FROM ({_NODE_VECTORS})
+  UNION ALL SELECT 'type', embedding_model_id, embedding_model_id || '|' || raw_type, any_value(vector)::DOUBLE[] FROM ontology_type_vector_cache
+  WHERE raw_type IS NOT NULL AND len(vector) = CASE embedding_model_id WHEN 1 THEN 64 ELSE 96 END AND {_USABLE.format("vector")} GROUP BY embedding_model_id, raw_type),
+s AS (SELECT a.collection, a.key AS own, b.key AS other, round(list_cosine_similarity(a.vec, b.vec), 12) AS cosine
+  FROM v a JOIN v b ON a.collection = b.collection AND a.part = b.part AND a.key <> b.key),
+r AS (SELECT *, row_number() OVER (PARTITION BY collection, own ORDER BY cosine DESC, other) AS place FROM s WHERE cosine >= 0.8)
+SELECT DISTINCT collection, least(own, other) AS key_a, greatest(own, other) AS key_b FROM r WHERE place <= 5""",
+    "p4_found": f"""
+WITH RECURSIVE v AS ({_NODE_VECTORS}),
+e AS (SELECT a.id AS a, b.id AS b FROM v a JOIN v b ON a.context_id = b.context_id AND a.id <> b.id WHERE list_cosine_similarity(a.vec, b.vec) >= 0.8),
+r AS (SELECT DISTINCT a AS node_id, a AS seen FROM e UNION SELECT r.node_id, e.b FROM r JOIN e ON r.seen = e.a),
+g AS (SELECT node_id, min(seen) AS cluster_id FROM r GROUP BY node_id)
+SELECT cluster_id, node_id FROM g WHERE cluster_id IN (SELECT cluster_id FROM g GROUP BY cluster_id HAVING count(*) >= 3)""",
+    # Shared words of all pairs of a table, counted with repetition.
+    "p6_found": r"""
+WITH t AS (SELECT 'chunks' AS table_name, id, any_value(text) AS text FROM chunks GROUP BY id
+  UNION ALL SELECT 'ontology_nodes', id, any_value(description) FROM ontology_nodes GROUP BY id),
+w AS (SELECT table_name, id, unnest(regexp_extract_all(lower(text), '[\p{L}\p{N}]+')) AS word FROM t WHERE text IS NOT NULL),
+n AS (SELECT table_name, id, count(*) AS n FROM w GROUP BY ALL HAVING count(*) >= 8),
+k AS (SELECT o.*, n.n FROM (SELECT table_name, id, word, count(*) AS c FROM w GROUP BY ALL) o JOIN n USING (table_name, id)),
+s AS (SELECT a.table_name, a.id AS id_a, b.id AS id_b, any_value(a.n) + any_value(b.n) AS total, sum(least(a.c, b.c)) AS shared
+  FROM k a JOIN k b ON a.table_name = b.table_name AND a.word = b.word AND a.id < b.id AND a.n >= 0.75 * b.n AND b.n >= 0.75 * a.n GROUP BY 1, 2, 3)
+SELECT table_name, id_a, id_b FROM s WHERE shared >= 0.75 * (total - shared)""",
     "p3_found": """
 WITH RECURSIVE l AS (SELECT winner_id AS a, loser_id AS b FROM ontology_merge_log
   UNION SELECT id1, id2 FROM ontology_dedup_cache WHERE identical),
