@@ -244,6 +244,34 @@ def test_spam(spark, text, want):
     assert found == ({(99,)} if want else set())
 
 
+PROSE = {
+    "pl": "Bank powinien przedstawić sprawozdanie najpóźniej siódmego dnia roboczego, a organ nadzoru sprawdza je w ciągu miesiąca. Jeżeli umowa zostanie rozwiązana, klient otrzymuje pisemne potwierdzenie wraz z wyjaśnieniem przyczyn. ",
+    "es": "El banco debe presentar el informe a más tardar el séptimo día hábil y la autoridad lo revisa en el plazo de un mes. Si se rescinde el contrato, el cliente recibe una confirmación por escrito con los motivos. ",
+    "ru": "Банк обязан представить отчёт не позднее седьмого рабочего дня, а орган надзора проверяет его в течение месяца. Если договор расторгнут, клиент получает письменное подтверждение с объяснением причин. ",
+    "ja": "銀行は第七営業日までに報告書を提出しなければならず、監督機関は一か月以内にそれを審査する。契約が解除された場合、顧客は理由を記した書面による確認を受け取る。",
+    "sv": "Banken ska lämna rapporten senast den sjunde arbetsdagen och tillsynsmyndigheten granskar den inom en månad. Om avtalet sägs upp får kunden en skriftlig bekräftelse med skälen. ",
+}
+LAWS = [" ".join(w) for w in (LAW.split(), ("Der Ausschuss hat die Meldung der Filiale " + LAW).split(), ("Wenn die Frist für das Konto nicht gilt, ist es von der Stelle zu sperren. " + LAW).split())]
+
+
+@pytest.mark.parametrize("named", [True, False])
+def test_prose_of_other_languages_is_no_spam(spark, named):
+    """With and without its name, few pages or many; keywords of such a language are found once it has pages."""
+    plain = [(i, (LAWS[i % 3] + " ") * (2 + i % 5), "de") for i in range(60)]
+    few = [(100 + i, t * 4, l if named else None) for i, (l, t) in enumerate(PROSE.items())]
+    schema = "doc_id long, text string, lang string"
+    assert rows(spam.find_spam_pages(spark.createDataFrame(plain + few, schema))) == set()
+    many = [(1000 + 50 * i + j, " ".join(np.random.default_rng(j).permutation(t.split(". "))) * 3, l if named else None) for i, (l, t) in enumerate(PROSE.items()) for j in range(40)]
+    stuffed = [(9000, "сберплан, кредитплан, сберплан дёшево, кредитплан онлайн, вкладплан выгодно, " * 8, "ru" if named else None)]
+    assert rows(spam.find_spam_pages(spark.createDataFrame(plain + many + stuffed, schema))) == {(9000,)}
+
+
+def test_pages_of_repeated_lines(spark):
+    plain = [(i, (LAWS[i % 3] + " ") * (2 + i % 5), "de") for i in range(60)]
+    again = [(100, "Jetzt den günstigen Plan für die ganze Familie sichern und mit der Bank sparen.\n" * 12, "de"), (101, "\n".join(LAWS), "de"), (102, None, "de"), (103, "\n\t ", None)]
+    assert rows(spam.find_spam_pages(spark.createDataFrame(plain + again, "doc_id long, text string, lang string"))) == {(100,)}
+
+
 def test_spam_of_an_empty_table(spark):
     assert spam.find_spam_pages(spark.createDataFrame([], "doc_id long, text string, lang string")).count() == 0
 
