@@ -5,13 +5,21 @@ clauses, and each clause is tagged as answer, refusal, echo, foreign or
 unfinished by a conditional random field, whose transitions settle clauses that
 say little alone (courtesies go with what stands beside them). The share of the
 response that each tag covers makes the defect of the pair.
+
+What a clause does is told by its letters: weights of hashed letter sequences
+and word pairs, fitted to the labelled clauses of pair_examples. Everything else
+the field sees is form: overlap with the prompt, language and script beside the
+prompt's, place, length, marks and the last word. All weights are fitted; no
+feature stands for a tag.
 """
 
 from __future__ import annotations
 
 import json
 import re
-from collections.abc import Iterator
+import unicodedata
+from collections.abc import Iterator, Sequence
+from dataclasses import dataclass
 from functools import lru_cache
 
 import numpy as np
@@ -20,6 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from normlake.llm.crf import LinearChainCRF
+from normlake.llm.pair_examples import CLAUSES, ITEMS, KINDS, LOOSE_ENDS, OTHERS, PROMPTS, RESPONSES, SHORT
 
 LABELS = ("answer", "refusal", "echo", "foreign", "unfinished")
 #: Statuses of finished rows, and errors that say that an answer was cut off. Fixed values.
@@ -27,46 +36,31 @@ FINISHED = ("done", "error")
 CUT_OFF = re.compile(r"finish_reason=length|max_tokens|stream closed|truncat", re.I)
 #: Share of a response that must be refused, repeated or foreign.
 REFUSED, REPEATED, FOREIGN = 0.5, 0.9, 0.5
+#: Buckets of letter sequences and word pairs.
+BUCKETS = 1 << 16
+#: Responses put together from the labelled clauses to fit the field: a bounded sample.
+COMPOSED = 1500
 
-#: Frequent words that tell the languages apart.
+#: Frequent words that tell the languages apart. The first three go before the others on a tie.
 WORDS = {
     "de": "der die das den dem des ein eine einen einem einer und oder ist sind wird werden hat haben nicht von zu mit nach für auf im am bei als auch bis so soweit wenn dass ich sie es wer wie muss kann darf dürfen zum zur über unter sowie keine kein gilt ja nein prozent werktagen werktag artikel satz abs nr welche frage antwort erst sein mir meinen dazu diese dieser diesem gern leider bitte".split(),
     "en": "the a an of and or is are was were be been has have had not by to with for from in on at as that which who this these if it its i you shall must may can only also under within between where when yes no per cent section article working days what any than no such after does".split(),
     "fr": "le la les l un une des du de d et ou est sont était être a ont pas par pour avec dans sur au aux ce cette ces il elle je vous ne que qui se son sa ses leur doit peut selon lorsque sans ainsi entre après oui non pour jours délai si article plus quel quelles quels sauf cas moins tous mois".split(),
+    "es": "el los las una del que en los por con para se su como más pero debe puede según cuando sin entre después sí días plazo mes si artículo este esta son está ha al lo y".split(),
+    "it": "il lo gli una del della dei delle che di per con non si come più ma deve può secondo quando senza tra dopo giorni termine mese se articolo questo questa sono è ha al alla nel entro ed".split(),
+    "nl": "het een van en niet dat zijn wordt worden aan met voor op door naar ook maar moet kan mag volgens wanneer zonder tussen na dagen termijn maand artikel deze dit heeft bij te er".split(),
+    "pl": "w i z na do nie się jest oraz że od po przez dla może musi powinien lub jeżeli gdy bez dni termin miesiąc artykuł ten ta są ma go jego jej ich za".split(),
+    "sv": "och att det som en ett är inte på av för med till den de om har ska kan får enligt när utan mellan efter dagar månad artikel denna detta vid från".split(),
 }
-_LANGUAGE = {l: frozenset(w) for l, w in WORDS.items()}
+_FIRST = ("de", "en", "fr")
+_OF_WORD: dict[str, tuple[int, ...]] = {}
+_NAMES = tuple(WORDS)
+for _i, _listed in enumerate(WORDS.values()):
+    for _w in _listed:
+        _OF_WORD[_w] = (*_OF_WORD.get(_w, ()), _i)
 #: Names of the languages in a request to answer in one of them.
-ASKED = {
-    "de": r"(?:auf|in) deutsch|in german|en allemand",
-    "en": r"(?:auf|in) englisch|in english|en anglais",
-    "fr": r"(?:auf|in) französisch|in french|en français",
-}
-_ASKED = {l: re.compile(rf"\b(?:{p})\b", re.I) for l, p in ASKED.items()}
-#: Turns of phrase in which somebody declines to answer.
-REFUSALS = re.compile(
-    r"""
-    \bich\b[^.!?]{0,60}\bnicht\b[^.!?]{0,40}\b(?:beantworten|ausführen|helfen|äußern|freigegeben|lage|befugt|berechtigt|unterstützen|eingehen|sagen|antworten)\b
-  | \bnicht\b[^.!?]{0,30}\b(?:beantworten|äußern|ausführen|weiterhelfen)\b[^.!?]*\b(?:ich|mir|uns)\b
-  | \b(?:darf|kann|möchte|werde|will)\s+ich\b[^.!?]{0,50}\b(?:nicht|keine|kein|leider)\b
-  | \bich\s+(?:darf|kann|möchte|werde|will)\b[^.!?]{0,50}\b(?:nicht|keine|kein|keinen)\b
-  | \bmuss\s+ich\s+(?:leider\s+)?(?:passen|ablehnen)\b | \bich\b[^.!?]{0,20}\bmuss\b[^.!?]{0,30}\b(?:passen|ablehnen)\b
-  | \bmir\s+(?:leider\s+)?nicht\s+(?:gestattet|erlaubt|möglich)\b | \b(?:meinen|meine)\s+(?:vorgaben|richtlinien|regeln)\b
-  | \büberschreitet\b[^.!?]{0,20}\bich\b | \bals\s+(?:ki|sprachmodell|ki-modell)\b
-  | \bi\s*(?:'m|am)?\s*(?:really\s+|afraid\s+|sorry\s+)*(?:can\s*not|cannot|can't|won't|will\s+not|am\s+unable|unable|'m\s+not\s+able|am\s+not\s+(?:able|permitted|allowed)|must\s+decline|have\s+to\s+(?:pass|decline)|would\s+rather\s+not|'d\s+rather\s+not|decline|do\s+not\s+wish|prefer\s+not)\b
-  | \bas\s+an?\s+(?:ai|language)\b | \bi\s+(?:am|'m)\s+(?:not\s+)?permitted\b | \b(?:guidelines|policies|policy|rules)\s+(?:that\s+)?(?:i\s+follow|restrictions)\b
-  | \bagainst\s+(?:the|my)\s+(?:guidelines|policy|policies|rules)\b | \bpolicy\s+restrictions\b | \b(?:outside|beyond)\b[^.!?]{0,40}\bi\s+(?:am|can|may)\b
-  | \bje\s+ne\s+(?:peux|suis|puis|souhaite|vais|saurais|veux)\b[^.!?]{0,20}\b(?:pas|répondre|traiter)\b | \bje\s+préfère\s+ne\s+pas\b | \bje\s+(?:dois|me\s+dois\s+de)\s+(?:décliner|refuser|passer)\b
-  | \bne\s+m['’]\s*est\s+pas\s+(?:permis|possible|autorisé)\b | \bm['’]est\s+impossible\b | \b(?:mes\s+consignes|mes\s+règles|mes\s+instructions)\b | \ben\s+tant\s+que\s+(?:modèle|ia)\b | \bje\s+refuse\b
-    """,
-    re.I | re.X,
-)
-#: Courtesies, which neither answer nor refuse.
-COURTESIES = re.compile(
-    r"^(?:vielen dank|danke|gern(?:e)?\b.*\b(?:anliegen|weiter)|holen sie|bitte wenden|wenden sie|es tut mir leid|leider|hinweis|bitte haben sie|is there anything|please consult|kindly|thank you|thanks|i'm sorry|i am sorry|sorry|apologies|unfortunately|note:|can i help|feel free|merci|désolé|malheureusement|veuillez|n'hésitez|puis-je)",
-    re.I,
-)
-#: Statements that the excerpts hold no such rule; they answer.
-NO_RULE = re.compile(r"\b(?:keine (?:regelung|angabe|aussage|vorschrift|information)|no (?:rule|provision|statement|information)|not say anything|does not (?:address|contain|mention)|aucune (?:règle|disposition|information|indication))\b", re.I)
+ASKED = {"deutsch": "de", "german": "de", "allemand": "de", "englisch": "en", "english": "en", "anglais": "en", "französisch": "fr", "french": "fr", "français": "fr"}
+_ASKED = re.compile(rf"\b(?:auf|in|en) ({'|'.join(ASKED)})\b", re.I)
 HEADING = re.compile(r"^[\s*_#>`„“”\"'«»]*(?:antwort|answer|response|réponse|frage|question)\s*:?[\s*_:]*", re.I)
 #: Words after which a sentence goes on.
 GOES_ON = frozenset("der die das den dem des ein eine einen einem einer und oder sowie von zu mit nach für auf im in an bei als bis wenn dass weil wobei insbesondere gemäß nicht the a an of and or by to with for from in on at as that which under because when where if including accordance le la les un une des du de et ou par pour avec dans sur au aux que qui selon car parce lorsque si notamment ainsi".split())
@@ -85,9 +79,34 @@ def words(text: str) -> list[str]:
 
 
 def language(tokens: list[str]) -> str | None:
-    """The language with most frequent words among the tokens; None if they say nothing or tie."""
-    score = sorted(((sum(t in s for t in tokens), l) for l, s in _LANGUAGE.items()), reverse=True)
-    return score[0][1] if score[0][0] > score[1][0] else None
+    """The language with most frequent words among the tokens; None if they say nothing or the first three tie."""
+    count = [0] * len(_NAMES)
+    for t in tokens:
+        for i in _OF_WORD.get(t, ()):
+            count[i] += 1
+    most = max(count)
+    if not most:
+        return None
+    first = [i for i, n in enumerate(count[: len(_FIRST)]) if n == most]
+    if first:
+        return _NAMES[first[0]] if len(first) == 1 else None
+    return _NAMES[count.index(most)]
+
+
+_LATIN = re.compile(r"[A-Za-zÀ-ɏ]{3}")
+
+
+@lru_cache(maxsize=4096)
+def _script_of(letter: str) -> str:
+    return unicodedata.name(letter, "?").split(" ")[0].split("-")[0]
+
+
+def script(text: str) -> str | None:
+    """LATIN for a text that begins with some Latin word, else the script of its first letter; None without letters."""
+    if _LATIN.search(text[:40]):
+        return "LATIN"
+    found = next((c for c in text if c.isalpha()), None)
+    return _script_of(found) if found else None
 
 
 def unwrap(response: str) -> tuple[str, bool]:
@@ -133,153 +152,314 @@ def _citation(text: str) -> bool:
     return all(w[0].isdigit() or w.lower() in CITING or (3 <= len(w) <= 5 and w.isupper()) for w in _WORD.findall(text))
 
 
-def _open_end(clause: str, item: bool, lang: str | None, after_text: bool) -> bool:
-    """Whether a last clause without more to come goes on nowhere."""
-    bare = clause.strip()
-    body = _ITEM.sub("", bare, count=1).strip() if not bare.startswith("|") else bare
-    if bare.startswith("|"):
-        return not bare.endswith("|")
-    if item and not words(body):
-        return True
-    if bare[-1:] in ",;:-–(„«[/&" or _ABBREVIATED.search(bare):
-        return True
+def _unclosed(bare: str) -> bool:
+    """Whether a bracket or quotation mark is left open."""
     for a, b in ("()", "[]", "„“", "«»"):
-        if bare.count(a) > bare.count(b) + (bare.count("”") + bare.count('"') if a == "„" else 0):
+        if a in bare and bare.count(a) > bare.count(b) + (bare.count("”") + bare.count('"') if a == "„" else 0):
             return True
-    if _ENDS.search(bare):
-        return False
-    last = words(body)[-1:] or [""]
-    if last[0] in GOES_ON:
-        return True
-    if item:
-        return lang == "de" and len(words(body)) > 1 and body.split()[-1][:1].islower()
-    return (after_text or len(words(body)) > 5) and not _citation(body)
-
-
-def clauses(prompt: str, response: str, error: str | None) -> tuple[list[str], np.ndarray]:
-    """The clauses of a response and their features, empty if nothing is said."""
+    return False
+
+
+FEATURES = (
+    "bias", "declines", "polite", "overlap", "half overlap", "covers", "overlap covers", "own language", "other language", "no language", "other script",
+    "first", "last", "last broken", "last unmarked", "last unmarked citation", "last unmarked long", "last unmarked after text", "last open mark", "last unclosed",
+    "last goes on", "last bare item", "last item", "last item small end", "last row open", "item", "number", "short", "long", "last of repeated", "only",
+)
+
+
+def describe(prompt: str, response: str, error: str | None) -> tuple[list[str], list[tuple]]:
+    """The clauses of a response and their forms (FEATURES from the fourth on), empty if nothing is said."""
     text, broken = unwrap(response)
     question = prompt.strip().split("\n")[-1]
-    own = language(words(question)) or language(words(prompt))
-    allowed = {own} | {l for l, p in _ASKED.items() if p.search(prompt)}
     asked, whole = words(question), words(prompt)
+    own = language(asked) or language(whole)
+    wanted = {own, *(ASKED[m.lower()] for m in _ASKED.findall(prompt))}
     pairs = set(zip(whole, whole[1:], strict=False))
     bare = HEADING.sub("", text)
-    # A dropped sign (as § in a repeated question) must not hide a repetition.
-    parts = [c.strip() for c in _SPLIT.split(bare) if words(c) or _ITEM.match(c)]
-    if not words(bare) or _NOTHING.match(bare.strip("\"'. ")) or not any(words(_ITEM.sub("", c, count=1)) for c in parts):
-        return [], np.zeros((0, len(FEATURES)))
+    parts = [c for c in map(str.strip, _SPLIT.split(bare)) if c and (words(c) or _ITEM.match(c))]
+    if not parts or _NOTHING.match(bare.strip("\"'. ")) or not any(words(_ITEM.sub("", c, count=1)) for c in parts):
+        return [], []
+    letters = script(prompt)
+    cut = broken or bool(error and CUT_OFF.search(error))
     rows = []
+    n = len(parts)
     for i, c in enumerate(parts):
-        w, last, item = words(c), i == len(parts) - 1, bool(_ITEM.match(c))
-        lang = language(w)
-        shared = sum(p in pairs for p in zip(w, w[1:], strict=False)) / max(1, len(w) - 1)
-        echo = len(w) > 1 and shared >= 0.8 and len(w) >= 0.6 * len(asked)
-        opened = last and (broken or bool(error and CUT_OFF.search(error)) or (not echo and _open_end(c, item, lang, i > 0 and not _ITEM.match(parts[i - 1]))))
-        refusal = bool(REFUSALS.search(c))
-        rows.append(
-            (
-                1,
-                refusal,
-                bool(COURTESIES.search(c)) and not refusal,
-                echo,
-                lang is not None and own is not None and lang not in allowed,
-                lang is not None and lang in allowed,
-                opened,
-                last and not _ENDS.search(c),
-                item,
-                bool(re.search(r"\d|§", c)),
-                bool(NO_RULE.search(c)),
-                i == 0,
-            )
-        )
-    return parts, np.array(rows, dtype=float)
-
-
-FEATURES = ("bias", "refusal", "courtesy", "echo", "foreign", "own", "open", "unmarked", "item", "number", "no_rule", "first")
-
-#: Labelled responses from which the field is fitted: (prompt, response, error, a letter a clause).
-#: a answer, r refusal, e echo, f foreign, u unfinished.
-_P = ("Welche Frist gilt für die Meldung des Kontos?", "Which period applies to the report of the account?", "Quel délai faut-il pour le rapport du compte ?")
-EXAMPLES = (
-    (_P[0], "Die Meldung ist binnen 5 Tagen nach dem Stichtag abzugeben. Das Institut hat sie zu prüfen.", None, "aa"),
-    (_P[0], "Im Text findet sich keine Regelung. Die Meldung ist nach § 5 Abs. 2 der Verordnung zu prüfen.", None, "aa"),
-    (_P[0], "Die Bank kann die Meldung nicht verweigern, da § 4 dies nicht gestattet.", None, "a"),
-    (_P[0], "Nach 5 Tagen", None, "a"),
-    (_P[0], "Ja", None, "a"),
-    (_P[0], "Das Konto umfasst:\n- den Bericht\n- die Frist", None, "aaa"),
-    (_P[0], "| a | b |\n|---|---|\n| das Konto | 7 |", None, "aaa"),
-    (_P[0], "Welche Frist gilt für die Meldung des Kontos? Die Meldung ist in 7 Tagen zu erstatten.", None, "ea"),
-    (_P[0], "Welche Frist gilt für die Meldung des Kontos?", None, "e"),
-    (_P[0], "welche frist gilt für die meldung des kontos", None, "e"),
-    (_P[0], "Frage: Welche Frist gilt für die Meldung des Kontos", None, "e"),
-    (_P[0], "Ich kann diese Frage nicht beantworten.", None, "r"),
-    (_P[0], "Vielen Dank für die Frage. Ich möchte mich nicht äußern. Holen Sie Rat ein.", None, "rrr"),
-    (_P[0], "Es tut mir leid. Das ist mir nicht gestattet. Gern helfe ich bei einem anderen Anliegen.", None, "rrr"),
-    (_P[0], "Vielen Dank für die Frage. Die Meldung ist in 7 Tagen zu erstatten.", None, "aa"),
-    (_P[0], "Die Meldung ist in 7 Tagen zu erstatten. Gern helfe ich bei einem anderen Anliegen.", None, "aa"),
-    (_P[0], "I can't help with that. Please consult a professional.", None, "rr"),
-    (_P[0], "Je ne peux pas répondre à cette question.", None, "r"),
-    (_P[1], "Ich kann diese Frage nicht beantworten. Holen Sie Rat ein.", None, "rr"),
-    (_P[0], "The report is to be handed in within 7 days. The firm has to check it.", None, "ff"),
-    (_P[0], "Le rapport est à remettre dans un délai de 7 jours.", None, "f"),
-    (_P[0], "Die Meldung ist in 7 Tagen zu erstatten. The report is to be handed in within the period.", None, "af"),
-    (_P[0], "Die Meldung ist in 7 Tagen zu erstatten. Das Konto ist nach der", None, "au"),
-    (_P[0], "Die Meldung ist in 7 Tagen zu erstatten und das Kon", None, "u"),
-    (_P[0], '{"answer": "Die Meldung ist in 7 Tagen', None, "u"),
-    (_P[0], "Das Konto umfasst:\n- den Bericht\n- ", None, "aau"),
-    (_P[0], "Die Meldung ist zu prüfen. Das Konto ist zu führen.", "max_tokens reached", "au"),
-    (_P[1], "The report is due within 5 days. The firm checks it.", None, "aa"),
-    (_P[1], "The section does not say anything about this.", None, "a"),
-    (_P[1], "Article 5", None, "a"),
-    (_P[1], "I'm sorry, but I can't help with that. Please consult a professional.", None, "rr"),
-    (_P[1], "Thank you for asking. I would rather not comment. Kindly rephrase your request.", None, "rrr"),
-    (_P[1], "Apologies. I am unable to answer this question.", None, "rr"),
-    (_P[1], "Which period applies to the report of the account?", None, "e"),
-    (_P[1], "Which period applies to the report of the account? The report is due in 5 days.", None, "ea"),
-    (_P[1], "Die Meldung ist in 7 Tagen zu erstatten. Das Konto ist zu führen.", None, "ff"),
-    (_P[1], "The report is due within 5 days. The account is kept by", None, "au"),
-    (_P[1], "The report is due within 5 days and the firm has to check the acc", None, "u"),
-    (_P[2], "Le rapport est à remettre dans un délai de 7 jours. La banque doit le vérifier.", None, "aa"),
-    (_P[2], "Oui", None, "a"),
-    (_P[2], "Je ne peux pas répondre à cette question. Veuillez consulter un spécialiste.", None, "rr"),
-    (_P[2], "The report is due within 5 days.", None, "f"),
-    (_P[2], "Quel délai faut-il pour le rapport du compte ?", None, "e"),
-    (_P[2], "Le rapport est à remettre. La banque doit le", None, "au"),
-)
+        w, last, item = words(c), i == n - 1, bool(_ITEM.match(c))
+        lang, shown = language(w), script(c)
+        overlap = sum(p in pairs for p in zip(w, w[1:], strict=False)) / max(1, len(w) - 1) if len(w) > 1 else 0.0
+        high, covers = overlap >= 0.8, len(w) >= 0.6 * len(asked)
+        other = lang is not None and own is not None and lang not in wanted
+        form = [overlap if high else 0.0, 0.4 <= overlap < 0.8, covers, high and covers, lang is not None and not other, other, lang is None]
+        form += [shown is not None and letters is not None and shown != letters and lang is None, i == 0, last]
+        end = [0] * 12
+        if last:
+            row = c.startswith("|")
+            body = c if row else _ITEM.sub("", c, count=1).strip()
+            inner = words(body)
+            unmarked = not _ENDS.search(c)
+            after = i > 0 and not _ITEM.match(parts[i - 1])
+            final = inner[-1] if inner else ""
+            plain = unmarked and not row and not high
+            end = [
+                cut, plain and not item, plain and not item and _citation(c), plain and not item and len(inner) > 5 and not _citation(c), plain and not item and after and not _citation(c),
+                not row and not high and (c[-1:] in ",;:-–(„«[/&" or bool(_ABBREVIATED.search(c))), not row and not high and _unclosed(c),
+                plain and final in GOES_ON, item and not inner, plain and item, plain and item and lang == "de" and len(inner) > 1 and body.split()[-1][:1].islower(), row and not c.endswith("|"),
+            ]
+        rows.append((*form, *end, item, any(map(str.isdigit, c)) or "§" in c, len(w) <= 2, len(w) > 12, last and n > 1 and c == parts[i - 1], n == 1))
+    return parts, rows
+
+
+def _hashed(texts: Sequence[str]) -> tuple[np.ndarray, np.ndarray]:
+    """Buckets of the letter sequences of lengths three to five, of words and of word pairs with a gap of up to two, and the text of each."""
+    plain = [" " + " ".join(words(t)) + " " for t in texts]
+    c = np.frombuffer("".join(plain).encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
+    sizes = np.array([len(p) for p in plain])
+    owner = np.repeat(np.arange(len(texts)), sizes)
+    found, of = [], []
+    h = np.zeros(len(c), dtype=np.uint32)
+    for k in range(5):
+        n = len(c) - k
+        if n <= 0:
+            break
+        h = (h[:n] * np.uint32(16777619)) ^ (c[k:] * np.uint32(2654435761) + np.uint32(k))
+        if k >= 2:
+            same = owner[:n] == owner[k:]
+            found.append(_bucket(h[same]))
+            of.append(owner[:n][same])
+    # Words: the sum of their letters' hashes from gap to gap.
+    if len(c):
+        gap = c == 32
+        place = np.cumsum(gap)
+        mixed = c * np.uint32(2246822519)
+        mixed ^= mixed >> np.uint32(13)
+        inside = np.arange(len(c)) - np.maximum.accumulate(np.where(gap, np.arange(len(c)), 0))
+        total = np.bincount(place[~gap], (mixed * (np.uint32(2) * inside.astype(np.uint32) + np.uint32(1)))[~gap].astype(np.float64), minlength=int(place[-1]) + 1)
+        seen = np.bincount(place[~gap], minlength=int(place[-1]) + 1) > 0
+        word = (total[seen].astype(np.uint64) & np.uint64(0xFFFFFFFF)).astype(np.uint32)
+        at = np.zeros(int(place[-1]) + 1, dtype=np.int64)
+        at[place[~gap]] = owner[~gap]
+        at = at[seen]
+        found.append(_bucket(word ^ np.uint32(0x9E3779B9)))
+        of.append(at)
+        for gap_ in (1, 2, 3):
+            same = at[:-gap_] == at[gap_:]
+            found.append(_bucket((word[:-gap_] * np.uint32(31) ^ word[gap_:] * np.uint32(2654435761))[same]))
+            of.append(at[:-gap_][same])
+    if not found:
+        return np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64)
+    return np.concatenate(found), np.concatenate(of)
+
+
+def _bucket(h: np.ndarray) -> np.ndarray:
+    h = (h ^ (h >> np.uint32(16))) * np.uint32(2246822519)
+    return ((h ^ (h >> np.uint32(13))) & np.uint32(BUCKETS - 1)).astype(np.int64)
+
+
+class ClauseKinds:
+    """What clauses do, from their letters: a softmax over hashed sequences."""
+
+    def __init__(self) -> None:
+        self.weights = np.zeros((BUCKETS, len(KINDS)), dtype=np.float32)
+
+    def fit(self, texts: Sequence[str], kinds: np.ndarray, rounds: int = 60, rate: float = 0.5, l2: float = 1e-4) -> ClauseKinds:
+        bucket, owner = _hashed(texts)
+        n = np.maximum(np.bincount(owner, minlength=len(texts)), 1)
+        used, bucket = np.unique(bucket, return_inverse=True)
+        w = np.zeros((len(used), len(KINDS)))
+        squares = np.full_like(w, 1e-6)
+        size = 1 / np.sqrt(n)
+        goal = np.eye(len(KINDS))[kinds]
+        for _ in range(rounds):
+            score = np.stack([np.bincount(owner, w[bucket, k], len(texts)) for k in range(len(KINDS))], 1) * size[:, None]
+            p = np.exp(score - score.max(1, keepdims=True))
+            p /= p.sum(1, keepdims=True)
+            off = (goal - p) * size[:, None]
+            g = np.stack([np.bincount(bucket, off[owner, k], len(used)) for k in range(len(KINDS))], 1) - l2 * len(texts) * w
+            squares += g**2
+            w += rate * g / np.sqrt(squares) * 0.2
+        self.weights[used] = w
+        return self
+
+    def scores(self, texts: Sequence[str]) -> np.ndarray:
+        """(n x 2): how much more the letters speak for declining, and for being polite, than for stating; bounded."""
+        if not len(texts):
+            return np.zeros((0, 2))
+        bucket, owner = _hashed(texts)
+        n = np.sqrt(np.maximum(np.bincount(owner, minlength=len(texts)), 1))
+        s = np.stack([np.bincount(owner, self.weights[bucket, k], len(texts)) / n for k in range(len(KINDS))], 1)
+        return np.clip(s[:, 1:] - s[:, :1], -4, 4)
+
+
+def labelled_clauses() -> tuple[list[str], np.ndarray]:
+    """All clauses of the sample with their kinds, in order."""
+    texts = [(t, k) for by in CLAUSES.values() for k, kind in enumerate(KINDS) for t in by[kind]]
+    return [t for t, _ in texts], np.array([k for _, k in texts])
+
+
+def composed(seed: int, count: int, usable: set[str]) -> list[tuple[str, str, str | None, str]]:
+    """Responses put together from labelled clauses, with one letter a clause, in the form of RESPONSES."""
+    rng = np.random.default_rng(seed)
+    pools = {(l, k): [c for c in CLAUSES[l][k] if c in usable] for l in CLAUSES for k in KINDS}
+    pick = lambda lang, kind: pools[lang, kind][int(rng.integers(len(pools[lang, kind])))]
+    ended = lambda lang: next(c for c in iter(lambda: pick(lang, "statement"), None) if c.endswith("."))
+    out = []
+    for _ in range(count):
+        lang = ("de", "en", "fr")[int(rng.choice(3, p=[0.45, 0.4, 0.15]))]
+        prompt = PROMPTS[lang][int(rng.integers(len(PROMPTS[lang])))]
+        question = prompt.split("\n")[-1]
+        case = rng.random()
+        parts: list[tuple[str, str]] = []
+        error = None
+        if case < 0.12:
+            # A list, whole or broken off.
+            intro = ended(lang)[:-1] + ":"
+            mark = (lambda i: "- ") if rng.random() < 0.6 else (lambda i: f"{i + 1}. ")
+            items = [mark(i) + ITEMS[lang][int(rng.integers(len(ITEMS[lang])))] for i in range(int(rng.integers(2, 5)))]
+            listed = [(intro, "a"), *((x, "a") for x in items)]
+            end = rng.random()
+            if end < 0.15:
+                listed.append((mark(len(items)).strip(), "u"))
+            elif end < 0.4:
+                listed.append((mark(len(items)) + LOOSE_ENDS[lang][int(rng.integers(len(LOOSE_ENDS[lang])))], "u"))
+            elif end < 0.5:
+                whole = items[-1] + " " + LOOSE_ENDS[lang][int(rng.integers(len(LOOSE_ENDS[lang])))]
+                listed[-1] = (whole, "u")
+            out.append((prompt, "\n".join(c for c, _ in listed), None, "".join(l for _, l in listed)))
+            continue
+        if case < 0.17:
+            parts = [(question, "e")] * (rng.random() < 0.2) + [(SHORT[lang][int(rng.integers(len(SHORT[lang])))], "a")]
+        elif case < 0.4:
+            before = [(pick(lang, "courtesy"), "a")] if rng.random() < 0.2 else []
+            parts = before + [(ended(lang), "a") for _ in range(int(rng.integers(1, 4)))] + ([(pick(lang, "courtesy"), "a")] if rng.random() < 0.15 else [])
+            if rng.random() < 0.1:
+                parts = [(pick(lang, "statement"), "a")]
+        elif case < 0.62:
+            spoken = lang if rng.random() < 0.85 else ("de", "en", "fr")[int(rng.integers(3))]
+            parts = [(pick(spoken, "courtesy"), "r")] if rng.random() < 0.5 else []
+            declined = pick(spoken, "refusal")
+            if rng.random() < 0.2:
+                declined = declined.rstrip(".") + "!"
+            if parts and parts[-1][0].endswith((",", ":", "Leider")):
+                # The opening and the refusal are one clause.
+                declined, parts = f"{parts[-1][0]} {declined[:1].lower() + declined[1:]}", []
+            parts += [(declined, "r")] + ([(pick(spoken, "courtesy"), "r")] if rng.random() < 0.5 else [])
+        elif case < 0.72:
+            said = question if rng.random() < 0.6 else question.upper() if rng.random() < 0.5 else "„" + question + "“"
+            parts = [(said, "e")] * (2 if rng.random() < 0.15 else 1) + ([(ended(lang), "a")] if rng.random() < 0.4 else [])
+        elif case < 0.84:
+            other = [x for x in CLAUSES if x != lang]
+            spoken = other[int(rng.integers(len(other)))]
+            strange = rng.random() < 0.25
+            foreign = lambda: OTHERS[int(rng.integers(len(OTHERS)))] if strange else ended(spoken)  # noqa: B023, E731
+            parts = ([(ended(lang), "a")] if rng.random() < 0.3 else []) + [(foreign(), "f") for _ in range(int(rng.integers(1, 4)))]
+        else:
+            parts = [(ended(lang), "a") for _ in range(int(rng.integers(0, 3)))]
+            whole = ended(lang)
+            if rng.random() < 0.15:
+                # A remark in brackets that is never closed.
+                whole = whole[:-1] + " (" + ITEMS[lang][int(rng.integers(len(ITEMS[lang])))] + ")."
+            at = int(rng.integers(len(whole) // 3 + 1, max(len(whole) // 3 + 2, len(whole) - 4)))
+            if rng.random() < 0.8:
+                piece = whole[:at].rstrip() if rng.random() < 0.6 else whole[: whole.rfind(" ", 0, at)]
+                if rng.random() < 0.2:
+                    piece = piece.rstrip(",") + ",:–("[int(rng.integers(4))]
+                if parts or len(words(piece)) > 5 or piece[-1] in ",:–(":
+                    parts.append((piece, "u"))
+                else:
+                    parts.append((whole, "a"))
+            else:
+                error = "max_tokens reached"
+                parts.append((whole, "u"))
+        text = ("\n" if rng.random() < 0.15 else " ").join(c for c, _ in parts)
+        out.append((prompt, text, error, "".join(l for _, l in parts)))
+    return out
+
+
+@dataclass
+class Tagger:
+    """The clause kinds and the field over them."""
+
+    kinds: ClauseKinds
+    field: LinearChainCRF
+
+    @classmethod
+    def fit(cls, usable: set[str] | None = None, seed: int = 4) -> Tagger:
+        """From the labelled clauses (those in `usable`) and the responses made of them.
+
+        The field sees each clause with the score of a model that was fitted
+        without it, as it will see clauses it does not know.
+        """
+        texts, kinds = labelled_clauses()
+        if usable is not None:
+            kept = [i for i, t in enumerate(texts) if t in usable]
+            texts, kinds = [texts[i] for i in kept], kinds[kept]
+        scored: dict[str, np.ndarray] = {}
+        for fold in range(4):
+            out = np.arange(len(texts)) % 4 == fold
+            part = ClauseKinds().fit([t for t, o in zip(texts, out, strict=True) if not o], kinds[~out])
+            held = [t for t, o in zip(texts, out, strict=True) if o]
+            scored |= dict(zip(held, part.scores(held), strict=True))
+        whole = ClauseKinds().fit(texts, kinds)
+        rows, tags = [], []
+        for prompt, response, error, letters in (*RESPONSES, *composed(seed, COMPOSED, set(texts))):
+            parts, form = describe(prompt, response, error)
+            if len(parts) == len(letters):
+                known = [scored[c] if c in scored else whole.scores([c])[0] for c in parts]
+                known = [np.zeros(2) if f[FEATURES.index("other script") - 3] else k for k, f in zip(known, form, strict=True)]
+                rows.append(np.array([(1, *k, *f) for k, f in zip(known, form, strict=True)], dtype=float))
+                tags.append(["arefu".index(t) for t in letters])
+        most = max(map(len, rows))
+        x, y = np.zeros((len(rows), most, len(FEATURES))), np.zeros((len(rows), most), dtype=int)
+        for i, (r, t) in enumerate(zip(rows, tags, strict=True)):
+            x[i, : len(r)], y[i, : len(t)] = r, t
+        return cls(whole, LinearChainCRF(len(LABELS), len(FEATURES)).fit(x, y, np.array(list(map(len, rows)))))
+
+    def defects(self, rows: Sequence[tuple[str | None, str | None, str | None, str | None]]) -> list[str | None]:
+        """The defect of each (prompt, response, status, error), or None. See find_broken_pairs."""
+        out: list[str | None] = [None] * len(rows)
+        clauses: list[str] = []
+        forms: list[tuple] = []
+        of, sizes = [], []
+        for i, (prompt, response, status, error) in enumerate(rows):
+            if status not in FINISHED:
+                continue
+            parts, form = describe(prompt or "", response or "", error)
+            if not parts:
+                out[i] = "empty"
+                continue
+            clauses += parts
+            forms += form
+            of.append(i)
+            sizes.append(len(parts))
+        if not of:
+            return out
+        x = np.empty((len(clauses), len(FEATURES)))
+        x[:, 0] = 1
+        x[:, 3:] = np.array(forms, dtype=float)
+        # In another script the letters say nothing.
+        x[:, 1:3] = self.kinds.scores(clauses) * (1 - x[:, FEATURES.index("other script"), None])
+        count = np.array(sizes)
+        tags = self.field.tag(x, count)
+        weight = np.array(list(map(len, clauses)), dtype=float)
+        owner = np.repeat(np.arange(len(of)), count)
+        share = np.bincount(owner * len(LABELS) + tags, weight, len(of) * len(LABELS)).reshape(-1, len(LABELS))
+        share /= share.sum(1, keepdims=True)
+        final = tags[np.cumsum(count) - 1]
+        for k, i in enumerate(of):
+            a, refused, repeated, foreign, _ = share[k]
+            out[i] = "truncated" if final[k] == 4 else "refusal" if refused > REFUSED else "copy" if repeated >= REPEATED else "other_language" if foreign > FOREIGN else None
+        return out
 
 
 @lru_cache(maxsize=1)
-def field() -> LinearChainCRF:
-    """The field fitted to EXAMPLES: a bounded sample, whatever the data."""
-    data = []
-    for prompt, response, error, tags in EXAMPLES:
-        parts, x = clauses(prompt, response, error)
-        if len(parts) != len(tags):
-            raise ValueError(f"{len(tags)} tags for {parts}")
-        data.append((x, np.array(["arefu".index(t) for t in tags])))
-    return LinearChainCRF(len(LABELS), len(FEATURES)).fit(data)
-
-
-def defect(prompt: str | None, response: str | None, status: str | None, error: str | None, model: LinearChainCRF | None = None) -> str | None:
-    """The defect of one pair, or None. See find_broken_pairs."""
-    if status not in FINISHED:
-        return None
-    parts, x = clauses(prompt or "", response or "", error)
-    if not parts:
-        return "empty"
-    tags = (model or field()).tag(x)
-    weight = np.array([len(p) for p in parts], dtype=float)
-    share = np.bincount(tags, weights=weight, minlength=len(LABELS)) / weight.sum()
-    if tags[-1] == 4:
-        return "truncated"
-    if share[1] > REFUSED:
-        return "refusal"
-    if share[2] >= REPEATED:
-        return "copy"
-    if share[3] > FOREIGN:
-        return "other_language"
-    return None
+def tagger() -> Tagger:
+    """The tagger fitted to the whole sample, whatever the data."""
+    return Tagger.fit()
+
+
+def defect(prompt: str | None, response: str | None, status: str | None, error: str | None) -> str | None:
+    """The defect of one pair, or None."""
+    return tagger().defects([(prompt, response, status, error)])[0]
 
 
 def find_broken_pairs(rows: DataFrame) -> DataFrame:
@@ -290,14 +470,13 @@ def find_broken_pairs(rows: DataFrame) -> DataFrame:
     one. Repeated rows come out once; of rows with one id and different contents
     the alphabetically first defect. Texts are read whole; other columns are ignored.
     """
-    model = field()
-    shared = rows.sparkSession.sparkContext.broadcast(model)
+    shared = rows.sparkSession.sparkContext.broadcast(tagger())
 
     @F.pandas_udf("string")
     def judge(it: Iterator[tuple[pd.Series, pd.Series, pd.Series, pd.Series]]) -> Iterator[pd.Series]:
         fitted = shared.value
         for columns in it:
-            yield pd.Series([defect(*r, fitted) for r in zip(*[c.where(c.notna(), None) for c in columns], strict=True)], dtype=object)
+            yield pd.Series(fitted.defects(list(zip(*[c.where(c.notna(), None) for c in columns], strict=True))), dtype=object)
 
     cases = rows.where(F.col("status").isin(*FINISHED))
     found = cases.select("id", judge("prompt", "response", "status", "error").alias("defect")).where("defect is not null")

@@ -172,14 +172,43 @@ def test_defects_of_rows(spark):
     assert pairs.defect("Antworte auf Englisch: " + P, "The report is due within the period.", "done", None) is None
 
 
-def test_field_fits_its_examples():
-    model = pairs.field()
-    wrong = total = 0
-    for prompt, response, error, tags in pairs.EXAMPLES:
-        got = model.tag(pairs.clauses(prompt, response, error)[1])
-        wrong += sum(a != "arefu".index(b) for a, b in zip(got, tags, strict=True))
-        total += len(tags)
-    assert wrong <= 0.05 * total
+@pytest.mark.parametrize(
+    ("prompt", "response", "want"),
+    [
+        (P, "Dazu äußere ich mich nicht.", "refusal"), (P, "Dazu gebe ich keine Auskunft.", "refusal"), (P, "Diese Anfrage liegt außerhalb dessen, was ich bearbeite.", "refusal"),
+        (P, "No comment.", "refusal"), (P, "Bank powinien przedstawić sprawozdanie i nie może go odrzucić.", "other_language"), (P, "Банк обязан представить отчёт.", "other_language"),
+        (P, "La banca deve presentare la relazione alla fine del mese.", "other_language"), (P, "Die Bank gibt dem Kunden auf Antrag Auskunft.", None), (P, "Das Institut äußert sich binnen 5 Tagen zu dem Bericht.", None),
+        ("Which period applies to the account?", "That is not a matter I will speak about.", "refusal"), ("Which period applies to the account?", "The bank will not answer for losses.", None),
+    ],
+)
+def test_wordings_that_are_not_in_the_sample(prompt, response, want):
+    assert pairs.defect(prompt, response, "done", None) == want
+
+
+def test_held_out_clauses():
+    """Fitted without every fourth labelled clause, and measured on responses made of those alone."""
+    texts, _ = pairs.labelled_clauses()
+    held = set(texts[::4])
+    model = pairs.Tagger.fit(usable=set(texts) - held)
+    sample = pairs.composed(99, 1200, held)
+    got = model.defects([(p, r, "done", e) for p, r, e, _ in sample])
+
+    def truth(prompt: str, response: str, error: str | None, letters: str) -> str | None:
+        parts, _ = pairs.describe(prompt, response, error)
+        if len(parts) != len(letters):
+            return "?"
+        size = Counter()
+        for p_, l in zip(parts, letters, strict=True):
+            size[l] += len(p_) / sum(map(len, parts))
+        return "truncated" if letters[-1] == "u" else "refusal" if size["r"] > 0.5 else "copy" if size["e"] >= 0.9 else "other_language" if size["f"] > 0.5 else None
+
+    wanted = [truth(*s) for s in sample]
+    both = Counter((w, g) for w, g in zip(wanted, got, strict=True) if w != "?")
+    for kind in ("truncated", "refusal", "copy", "other_language"):
+        hit = both[kind, kind]
+        # A third of the refusals in wordings it has never seen look like statements to it.
+        assert hit >= 0.7 * sum(n for (w, _), n in both.items() if w == kind), (kind, both)
+        assert hit >= 0.9 * sum(n for (_, g), n in both.items() if g == kind), (kind, both)
 
 
 # Near copies
