@@ -69,8 +69,11 @@ def hot_keys(df: DataFrame, key: str, min_rows: int = MIN_HOT_ROWS) -> list:
 
     The count is combined map-side, so a hot key costs one partial row a task.
     Two keys cannot each hold more than half, and so on: the list has at most
-    MAX_HOT_KEYS entries whatever the input. Null keys are never hot.
+    MAX_HOT_KEYS entries whatever the input. Null keys are never hot. A table
+    that has no more rows than one hot key needs is not grouped at all.
     """
+    if df.select(key).limit(min_rows + 1).count() <= min_rows:
+        return []
     counts = df.where(F.col(key).isNotNull()).groupBy(key).agg(F.count(F.lit(1)).alias("n"))
     # 'total' is one row; only keys over both limits travel to the driver.
     large = counts.where(F.col("n") > min_rows)
