@@ -16,7 +16,7 @@ from normlake.plans.runtime import cut, lookup_join
 
 #: Rounds of stripping at most, and the shrinkage below which the core is solved instead.
 MAX_ROUNDS, LEAST_SHRINK = 12, 0.1
-#: Label contraction halves the vertices at least every few rounds; this only guards against a bug.
+#: Label contraction halves the vertices at least every few rounds; running out of rounds is a bug and an error.
 MAX_CONTRACTIONS = 64
 
 
@@ -52,14 +52,14 @@ def strip_round(edges: DataFrame, round_no: int) -> tuple[DataFrame, DataFrame]:
         .select("v", "w1", "w2")
     )
     gone = cut(gone)
-    names = gone.select(F.col("v").alias("x"))
-    kept = (
-        edges.join(names.withColumnRenamed("x", "a"), "a", "left_anti")
-        .join(names.withColumnRenamed("x", "b"), "b", "left_anti")
-        .select("a", "b")
-        .unionByName(gone.where("w1 < w2").select(F.col("w1").alias("a"), F.col("w2").alias("b")))
-        .distinct()
-    )
+    # A removed vertex has one or two edges, and those are known: they are named and taken out whole, so
+    # no join is on the ends, of which a hub has any number.
+    lost = gone.select("v", F.explode(F.array_distinct(F.array("w1", "w2"))).alias("w")).select(F.least("v", "w").alias("a"), F.greatest("v", "w").alias("b"))
+    fresh = gone.where("w1 < w2").select(F.col("w1").alias("a"), F.col("w2").alias("b"))
+    marked = edges.select("a", "b", F.lit(False).alias("out")).unionByName(lost.select("a", "b", F.lit(True).alias("out")))
+    marked = marked.unionByName(fresh.select("a", "b", F.lit(False).alias("out")))
+    # The edge between two neighbours may be there already; only old edges are taken out, and those end in a removed vertex.
+    kept = marked.groupBy("a", "b").agg(F.max("out").alias("out")).where("not out").select("a", "b")
     return gone.select("v", F.col("w1").alias("parent")), cut(kept)
 
 
@@ -69,7 +69,7 @@ def contract(edges: DataFrame) -> DataFrame:
     current = edges
     for _ in range(MAX_CONTRACTIONS):
         if current.isEmpty():
-            break
+            return labels
         hook = _both(current).groupBy("v").agg(F.min("w").alias("w")).select("v", F.least("v", "w").alias("p"))
         # Pointers only descend, so the forest has no cycle; each doubling halves its depth.
         while True:
@@ -83,11 +83,13 @@ def contract(edges: DataFrame) -> DataFrame:
             labels = hook.select("v", F.col("p").alias("label"))
         else:
             step = hook.select(F.col("v").alias("label"), F.col("p").alias("next"))
-            labels = cut(labels.join(step, "label", "left").select("v", F.coalesce("next", "label").alias("label")))
+            # One giant component is one label: large ones are joined apart.
+            labels = cut(lookup_join(labels, step, "label").select("v", F.coalesce("next", "label").alias("label")))
         step_a = hook.select(F.col("v").alias("a"), F.col("p").alias("pa"))
         step_b = hook.select(F.col("v").alias("b"), F.col("p").alias("pb"))
-        current = cut(_edges(current.join(step_a, "a").join(step_b, "b").select(F.col("pa").alias("a"), F.col("pb").alias("b"))))
-    return labels
+        current = lookup_join(lookup_join(current, step_a, "a"), step_b, "b")
+        current = cut(_edges(current.select(F.col("pa").alias("a"), F.col("pb").alias("b"))))
+    raise RuntimeError(f"the core is not solved after {MAX_CONTRACTIONS} contractions")
 
 
 def connected_components(pairs: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
@@ -116,7 +118,8 @@ def connected_components(pairs: DataFrame, a: str = "a", b: str = "b") -> DataFr
             labels = named.select("v", F.col("u").alias("label")).unionByName(named.select(F.col("u").alias("v"), F.col("u").alias("label")).distinct())
             continue
         known = labels.select(F.col("v").alias("u"), "label")
-        got = named.join(known, "u", "left").select("v", "u", F.coalesce("label", "u").alias("label"), F.col("label").isNull().alias("root"))
+        # Any number of removed vertices may hang on one hub.
+        got = lookup_join(named, known, "u").select("v", "u", F.coalesce("label", "u").alias("label"), F.col("label").isNull().alias("root"))
         roots = got.where("root").select(F.col("u").alias("v"), F.col("u").alias("label")).distinct()
         labels = labels.unionByName(got.select("v", "label")).unionByName(roots)
         labels = cut(labels)
