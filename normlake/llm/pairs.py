@@ -81,9 +81,10 @@ def words(text: str) -> list[str]:
 def language(tokens: list[str]) -> str | None:
     """The language with most frequent words among the tokens; None if they say nothing or the first three tie."""
     count = [0] * len(_NAMES)
-    for t in tokens:
-        for i in _OF_WORD.get(t, ()):
-            count[i] += 1
+    for listed in map(_OF_WORD.get, tokens):
+        if listed:
+            for i in listed:
+                count[i] += 1
     most = max(count)
     if not most:
         return None
@@ -93,6 +94,7 @@ def language(tokens: list[str]) -> str | None:
     return _NAMES[count.index(most)]
 
 
+_FIGURE = re.compile(r"[\d§]")
 _LATIN = re.compile(r"[A-Za-zÀ-ɏ]{3}")
 
 
@@ -176,17 +178,23 @@ def describe(prompt: str, response: str, error: str | None) -> tuple[list[str],
     wanted = {own, *(ASKED[m.lower()] for m in _ASKED.findall(prompt))}
     pairs = set(zip(whole, whole[1:], strict=False))
     bare = HEADING.sub("", text)
-    parts = [c for c in map(str.strip, _SPLIT.split(bare)) if c and (words(c) or _ITEM.match(c))]
-    if not parts or _NOTHING.match(bare.strip("\"'. ")) or not any(words(_ITEM.sub("", c, count=1)) for c in parts):
+    parts, tokens, bodies = [], [], []
+    for c in map(str.strip, _SPLIT.split(bare)):
+        w, item = words(c), _ITEM.match(c)
+        if w or item:
+            parts.append(c)
+            tokens.append(w)
+            bodies.append(c[item.end() :].strip() if item and c[0] != "|" else c)
+    if _NOTHING.match(bare.strip("\"'. ")) or not any(w and (b is c or words(b)) for c, w, b in zip(parts, tokens, bodies, strict=True)):
         return [], []
     letters = script(prompt)
     cut = broken or bool(error and CUT_OFF.search(error))
     rows = []
     n = len(parts)
     for i, c in enumerate(parts):
-        w, last, item = words(c), i == n - 1, bool(_ITEM.match(c))
+        w, last, item = tokens[i], i == n - 1, bodies[i] is not c or c[0] == "|"
         lang, shown = language(w), script(c)
-        overlap = sum(p in pairs for p in zip(w, w[1:], strict=False)) / max(1, len(w) - 1) if len(w) > 1 else 0.0
+        overlap = len([1 for p in zip(w, w[1:], strict=False) if p in pairs]) / (len(w) - 1) if len(w) > 1 else 0.0
         high, covers = overlap >= 0.8, len(w) >= 0.6 * len(asked)
         other = lang is not None and own is not None and lang not in wanted
         form = [overlap if high else 0.0, 0.4 <= overlap < 0.8, covers, high and covers, lang is not None and not other, other, lang is None]
@@ -194,10 +202,10 @@ def describe(prompt: str, response: str, error: str | None) -> tuple[list[str],
         end = [0] * 12
         if last:
             row = c.startswith("|")
-            body = c if row else _ITEM.sub("", c, count=1).strip()
-            inner = words(body)
+            body = bodies[i]
+            inner = words(body) if body is not c else w
             unmarked = not _ENDS.search(c)
-            after = i > 0 and not _ITEM.match(parts[i - 1])
+            after = i > 0 and bodies[i - 1] is parts[i - 1] and parts[i - 1][0] != "|"
             final = inner[-1] if inner else ""
             plain = unmarked and not row and not high
             end = [
@@ -205,12 +213,12 @@ def describe(prompt: str, response: str, error: str | None) -> tuple[list[str],
                 not row and not high and (c[-1:] in ",;:-–(„«[/&" or bool(_ABBREVIATED.search(c))), not row and not high and _unclosed(c),
                 plain and final in GOES_ON, item and not inner, plain and item, plain and item and lang == "de" and len(inner) > 1 and body.split()[-1][:1].islower(), row and not c.endswith("|"),
             ]
-        rows.append((*form, *end, item, any(map(str.isdigit, c)) or "§" in c, len(w) <= 2, len(w) > 12, last and n > 1 and c == parts[i - 1], n == 1))
+        rows.append((*form, *end, item, _FIGURE.search(c) is not None, len(w) <= 2, len(w) > 12, last and n > 1 and c == parts[i - 1], n == 1))
     return parts, rows
 
 
 def _hashed(texts: Sequence[str]) -> tuple[np.ndarray, np.ndarray]:
-    """Buckets of the letter sequences of lengths three to five, of words and of word pairs with a gap of up to two, and the text of each."""
+    """Buckets of the letter sequences of lengths four and five, of words and of word pairs with a gap of up to two, and the text of each."""
     plain = [" " + " ".join(words(t)) + " " for t in texts]
     c = np.frombuffer("".join(plain).encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
     sizes = np.array([len(p) for p in plain])
@@ -222,7 +230,7 @@ def _hashed(texts: Sequence[str]) -> tuple[np.ndarray, np.ndarray]:
         if n <= 0:
             break
         h = (h[:n] * np.uint32(16777619)) ^ (c[k:] * np.uint32(2654435761) + np.uint32(k))
-        if k >= 2:
+        if k >= 3:
             same = owner[:n] == owner[k:]
             found.append(_bucket(h[same]))
             of.append(owner[:n][same])
