@@ -140,6 +140,33 @@ def test_sessions(spark, hot):
     assert rows(unfit_sessions(df.where("false"), hot)) == set()
 
 
+def test_log_of_edits_and_deletes(spark):
+    """(message, version, kind, session, role, content, time): the last version of each message counts, deleted ones are gone."""
+    log = [
+        ("a", 1, "create", 1, "user", "q", T[0]), ("b", 1, "create", 1, "ai", "x", T[1]), ("b", 2, "edit", 1, "ai", "y", T[5]), ("b", 2, "retry", 1, "ai", "x", T[6]), ("b", None, "create", 1, "ai", "old", T[1]),
+        ("c", 1, "create", 2, "user", "q", T[0]), ("d", 1, "create", 2, "ai", "a", T[1]), ("e", 1, "create", 2, "ai", "b", T[2]), ("e", 2, "delete", 2, "ai", "b", T[3]), ("e", 3, "retry", 2, "ai", "b", T[4]),
+        ("f", 1, "create", 3, "user", "q", T[0]), ("g", 1, "create", 3, "ai", "a", T[1]), ("g", 2, "delete", 3, None, None, T[2]),
+        ("h", 1, "create", 4, "user", "q", T[0]), ("h", 2, "delete", 4, "user", None, T[1]),
+        ("i", 1, "create", 5, "user", "q", T[0]), ("j", 1, "create", 5, "ai", "a", T[1]), ("j", 2, "delete", 5, "ai", None, T[2]), ("j", 3, "edit", 5, "ai", "again", T[3]),
+        ("k", 1, "CREATE", 6, "user", "q", T[0]), ("l", 3, "edit", 6, "ai", "", T[1]), ("l", 2, "create", 6, "ai", "a", T[1]),
+        ("m", 1, "retry", 7, "user", "q", T[0]), ("n", 1, "retry", 7, "ai", "a", T[1]), ("o", 1, "create", 7, "ai", "a", T[1]),
+    ]
+    df = spark.createDataFrame([(*r, None) for r in log], "id string, revision long, event string, session_id long, role string, content string, created_at timestamp, tool_calls_json string")
+    names = {"kind": "event", "version": "revision"}
+    for hot in (1, 10**6):
+        assert rows(unfit_sessions(df, hot, **names)) == {(3, "no_reply"), (6, "no_reply")}
+        got = rows(conversations(df, hot, **names))
+        assert got == {(1, 1, "user", "a"), (1, 2, "assistant", "b"), (2, 1, "user", "c"), (2, 2, "assistant", "d"), (5, 1, "user", "i"), (5, 2, "assistant", "j"), (7, 1, "user", "m"), (7, 2, "assistant", "n")}
+
+
+def test_many_messages_of_one_time(spark):
+    """One session, one timestamp: its pieces are cut between ids."""
+    data = chat(*[(1, "user" if i % 2 == 0 else "ai", f"m{i}", None, T[0]) for i in range(60)])
+    df = spark.createDataFrame(data, CHAT)
+    assert rows(unfit_sessions(df, 7)) == set()
+    assert rows(conversations(df, 7).select("turn", "message_id")) == {(i + 1, i) for i in range(60)}
+
+
 # Pairs
 
 P = "Welche Frist gilt für die Meldung des Kontos?"
