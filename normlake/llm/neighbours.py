@@ -98,6 +98,7 @@ class Quantiser:
     slack: float = 0.1
     cells: dict[int, np.ndarray] = field(default_factory=dict)
     finer: dict[int, np.ndarray] = field(default_factory=dict)
+    depth: int = DEPTH
 
     @classmethod
     def fit(cls, sample: np.ndarray, levels: int = 0, seed: int = 11) -> Quantiser:
@@ -113,7 +114,7 @@ class Quantiser:
         r = few - base
         # Sixteen quantiles of each residual to begin with.
         books = np.quantile(r, (np.arange(16) + 0.5) / 16, axis=0).T.astype(np.float32)
-        out = cls(bases, np.ascontiguousarray(books), max(1.0, float(eta)))
+        out = cls(bases, np.ascontiguousarray(books), max(1.0, float(eta)), depth=DEPTH)
         for _ in range(ROUNDS):
             out._update(few, r, out.encode(few, base))
         # How far a score is off for a query at the least cosine, at worst in the sample, and half as much again.
@@ -193,19 +194,19 @@ class Quantiser:
         """The cells that rows ask at a level (n x count), the nearest, in which they stand, first."""
         if level == 0:
             return np.zeros((len(x), 1), dtype=np.int64)
-        top = min(level, DEPTH)
+        top = min(level, self.depth)
         score = x @ self.cells[top].T
         first = _leading(score, ASKED[top])
-        if level <= DEPTH:
+        if level <= self.depth:
             return first
-        fine = self.finer[min(level - DEPTH, DEPTH)]
+        fine = self.finer[min(level - self.depth, self.depth)]
         half = (fine**2).sum(1) / 2
-        count = int(ASKED[DEPTH] * ASKED_GROWTH ** (level - DEPTH))
+        count = int(ASKED[self.depth] * ASKED_GROWTH ** (level - self.depth))
         best = np.take_along_axis(score, first, 1)
         n = len(fine)
         found = np.empty((len(x), min(count, first.shape[1] * n)), dtype=np.int64)
         for i in range(len(x)):
-            rest = (x[i] - self.cells[DEPTH][first[i]]) @ fine.T - half
+            rest = (x[i] - self.cells[self.depth][first[i]]) @ fine.T - half
             all_ = (best[i][:, None] + rest).ravel()
             order = _leading(all_[None], found.shape[1])[0]
             # The own cell is the finest within the nearest centre, whatever the others score.
