@@ -24,19 +24,60 @@ add = registry.add
 
 #: Texts and the keys they name, in order.
 NAMED = [
+    ("Die Anforderungen des § 25a KWG sind einzuhalten.", "KWG:§25a"),
+    ("gemäß §25a KWG", "KWG:§25a"),
+    ("§ 25a Abs. 1 KWG", "KWG:§25a"),
     ("§ 25a Abs. 1 Satz 3 Nr. 1 KWG", "KWG:§25a"),
+    ("Nach § 6 GwG hat das Institut …", "GWG:§6"),
+    ("§ 6 Absatz 2 GwG", "GWG:§6"),
+    ("die Vorgaben aus § 10 GwG", "GWG:§10"),
+    ("§ 64a VAG", "VAG:§64a"),
+    ("Pflichten nach § 80 WpHG", "WPHG:§80"),
+    ("Regelungen des § 91 Abs. 2 AktG", "AKTG:§91"),
+    ("nach Art. 28 DORA", "DORA:Art.28"),
+    ("Artikel 28 DORA", "DORA:Art.28"),
+    ("Art. 5 Abs. 1 DORA", "DORA:Art.5"),
+    ("Art. 30 DORA regelt vertragliche Vereinbarungen.", "DORA:Art.30"),
     ("gemäß Art. 92 CRR", "CRR:Art.92"),
+    ("Verordnung (EU) 2022/2554", "EU:2022/2554"),
     ("die Verordnung (EU) Nr. 575/2013 (CRR)", "EU:2013/575"),
+    ("Verordnung (EU) 2016/679", "EU:2016/679"),
     ("Siehe AT 4.3.2 der MaRisk.", "MARISK:AT4.3.2"),
-    ("§ 25a KWG und AT 4.3.2, § 25a Abs. 3 KWG sowie Art. 28 DORA", "KWG:§25a,MARISK:AT4.3.2,DORA:Art.28"),
-    ("Artikel 92 Absatz 1 Buchstabe c der Verordnung (EU) Nr. 575/2013", "EU:2013/575:Art.92,EU:2013/575"),
+    ("Modul BTO 1.1", "MARISK:BTO1.1"),
+    ("Anforderungen in BTR 2.1", "MARISK:BTR2.1"),
+    ("BT 3 der MaRisk", "MARISK:BT3"),
+    ("AT 4.3.2 Absatz 1", "MARISK:AT4.3.2"),
+    ("gemäß AT 9 (Auslagerung)", "MARISK:AT9"),
+    ("Absatz 3 dieses Artikels bleibt unberührt.", ""),
+    ("wie in diesem Absatz beschrieben", ""),
     ("Art. 28 dieses Übereinkommens", ""),
+    ("siehe Seite 28", ""),
+    ("vgl. S. 128 des Berichts", ""),
+    ("auf den Seiten 12 bis 15", ""),
     ("vom 28. Mai 2022", ""),
+    ("im Jahr 2022", ""),
+    ("Stand: 14.12.2022", ""),
     ("§ 5 Satz 1 des Vertrags", ""),
+    ("gemäß § 3 der Ordnung", ""),
+    ("Art. 12 des Anhangs", ""),
+    ("§ 25a KWG verlangt Regelungen; ferner gelten AT 4.3.2 und § 25a Abs. 3 KWG sowie Art. 28 DORA.", "KWG:§25a,MARISK:AT4.3.2,DORA:Art.28"),
+    ("Artikel 92 Absatz 1 Buchstabe c der Verordnung (EU) Nr. 575/2013", "EU:2013/575:Art.92,EU:2013/575"),
+    ("Artikel 5 Absatz 1 und 2 der Verordnung (EU) 2022/2554", "EU:2022/2554:Art.5,EU:2022/2554"),
+    ("Artikel 4 Absatz 1 Nummer 25 der Verordnung (EU) Nr. 575/2013", "EU:2013/575:Art.4,EU:2013/575"),
+    ("in den Artikeln 3 bis 5 der Delegierten Verordnung (EU) 2024/1774", "EU:2024/1774:Art.3,EU:2024/1774:Art.4,EU:2024/1774:Art.5,EU:2024/1774"),
     ("Artikel 5 gilt entsprechend, wie in der Verordnung (EU) 2016/679 bestimmt", "EU:2016/679"),
+    ("Artikel 12 findet Anwendung. Unberührt bleibt die Verordnung (EU) Nr. 575/2013.", "EU:2013/575"),
+    ("Artikel 30 Verordnung (EU) Nr. 575/2013", "EU:2013/575"),
+    ("nach § 6 des Geldwäschegesetzes", "GWG:§6"),
+    ("§ 7 der Verordnung", ""),
+    ("§ 25a KWG und die dazugehörigen Verwaltungsvorschriften", "KWG:§25a"),
+    ("§§ 13 bis 13c des Vertrags", ""),
+    ("Artikel 387 bis 410 der Anlage", ""),
 ]
 RANGES = [
     ("§§ 13 bis 13c KWG", "13,13a,13b,13c"),
+    ("§§ 13-13c KWG", "13,13a,13b,13c"),
+    ("§§ 13–13c KWG", "13,13a,13b,13c"),
     ("§§ 17 bis 22 KWG", "17,18,19,20,21,22"),
     ("§§ 10c bis 10i KWG", "10c,10d,10e,10f,10g,10h,10i"),
     ("§§ 1 bis 100 KWG", "1,100"),
