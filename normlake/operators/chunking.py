@@ -8,7 +8,7 @@ from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 #: Abbreviations whose dot ends no sentence.
@@ -290,6 +290,53 @@ def structural_chunks(lines: Sequence[tuple[int, int, str, float, bool]], profil
     return out
 
 
+def mean_font_size(lines: DataFrame) -> DataFrame:
+    """(doc_id, mean): the mean font size of lines(doc_id, text, size) over their characters; null without any."""
+    chars = F.length(F.coalesce("text", F.lit("")))
+    total = F.sum(chars)
+    return lines.groupBy("doc_id").agg(F.when(total > 0, F.sum(F.col("size") * chars) / total).alias("mean"))
+
+
+def fresh_lines(lines: DataFrame) -> DataFrame:
+    """lines(doc_id, page, line_no, y, size, ...) with `fresh`: the line opens a paragraph.
+
+    It does as the first of its document or page, or more than one and a half
+    font sizes away from the line before; y is in tenths. Empty lines are out.
+    """
+    w = Window.partitionBy("doc_id").orderBy("page", "line_no")
+    used = lines.where(F.trim(F.coalesce("text", F.lit(""))) != "")
+    page, y = F.lag("page").over(w), F.lag("y").over(w)
+    return used.withColumn("fresh", page.isNull() | (page != F.col("page")) | (F.abs(y - F.col("y")) / 10 > 1.5 * F.col("size")))
+
+
+def continued_sections(chunks: DataFrame, most: int) -> DataFrame:
+    """(chunk_id, continuation, continues_at): for every chunk with a section, the chunks that carry the section on.
+
+    chunks(id, document_id, chunk_index, section, is_omitted). Those with the next
+    places in the document and the same section follow, up to an omitted one, a
+    gap or another section; at most `most` of them, and continues_at is the one
+    after those, if the section goes on. The chunk itself may be omitted. Of
+    chunks with one place the smallest id stands there. A null section, and an
+    empty one, is none.
+    """
+    named = chunks.select("id", "document_id", "chunk_index", F.when(F.trim("section") != "", F.col("section")).alias("section"), F.coalesce("is_omitted", F.lit(False)).alias("out"))
+    row = F.struct("id", "section", "out")
+    placed = named.groupBy("document_id", "chunk_index").agg(F.min_by(row, "id").alias("r")).select("document_id", "chunk_index", "r.*")
+    ahead = Window.partitionBy("document_id").orderBy("chunk_index").rowsBetween(1, most + 1)
+    following = placed.select("document_id", "chunk_index", F.collect_list(F.struct("chunk_index", "id", "section", "out")).over(ahead).alias("next"))
+    starts = named.where("section is not null").join(following, ["document_id", "chunk_index"])
+    # The row at place i carries on if its index is i + 1 further and it is of the section; the first that does not ends it.
+    carries = F.transform("next", lambda x, i: (x["chunk_index"] == F.col("chunk_index") + i + 1) & ~x["out"] & x["section"].eqNullSafe(F.col("section")))
+    first_out = F.array_position(carries, False)
+    held = F.when(first_out > 0, first_out - 1).otherwise(F.size(carries)).cast("int")
+    run = F.slice("next", F.lit(1), held)
+    return starts.select(
+        F.col("id").alias("chunk_id"),
+        F.transform(F.slice(run, 1, most), lambda x: x["id"]).alias("continuation"),
+        F.when(held > most, F.try_element_at(run, F.lit(most + 1))["id"]).alias("continues_at"),
+    )
+
+
 def structural_table(lines: DataFrame, profile: LineProfile | None = None) -> DataFrame:
     """(doc_id, chunk_index, text, section, title, page, signature) of lines(doc_id, page, y, line_no, text, size, bold), per document."""
 

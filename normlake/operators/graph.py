@@ -11,6 +11,7 @@ from collections.abc import Iterable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from normlake.operators.retrieval import batch_search
 from normlake.plans.runtime import cut
 
 #: Hops after which the lineage of an expansion is cut.
@@ -62,6 +63,10 @@ def degrees(edges: DataFrame) -> DataFrame:
 def neighbourhood(seeds: DataFrame, edges: DataFrame, hops: int) -> DataFrame:
     """(seed, node_id, hop) of all nodes within `hops` undirected steps of each seed, the seed itself at hop 0.
 
+    seeds(seed) start at the node of that id; seeds(seed, node_id) may give a seed,
+    as a query, any number of nodes to start from, and the least hop counts. The
+    walk follows edges wherever they lead, whatever the contexts of the seeds.
+
     The frontier is expanded a hop at a time and nodes seen before are taken
     out, so work follows the ball and not the number of walks.
     """
@@ -69,7 +74,7 @@ def neighbourhood(seeds: DataFrame, edges: DataFrame, hops: int) -> DataFrame:
         F.explode(F.array(F.struct(F.col("source_id").alias("u"), F.col("target_id").alias("w")), F.struct(F.col("target_id").alias("u"), F.col("source_id").alias("w")))).alias("e")
     )
     both = both.select("e.u", "e.w").distinct()
-    front = seeds.select("seed", F.col("seed").alias("node_id")).distinct()
+    front = seeds.select("seed", F.col("node_id" if "node_id" in seeds.columns else "seed").alias("node_id")).distinct()
     ball = front.withColumn("hop", F.lit(0))
     for hop in range(1, hops + 1):
         step = front.join(both, front["node_id"] == both["u"]).select("seed", F.col("w").alias("node_id")).distinct()
@@ -179,6 +184,71 @@ def label_propagation(edges: DataFrame, rounds: int = 5) -> DataFrame:
     return labels
 
 
+def seed_nodes(queries: DataFrame, vectors: DataFrame, k: int, per_context: bool = True) -> DataFrame:
+    """(seed, node_id): the k nodes nearest to each of queries(query_id, space, qvec), in each context or in all of a model.
+
+    vectors(id, space, context_id, vec); space is the embedding model, and a query
+    meets vectors of its own model only. One query asks every context for its k
+    best; a batch of queries asks every model.
+    """
+    by = ("space", "context_id") if per_context else ("space",)
+    found = batch_search(queries, vectors, k, by=by)
+    return found.select(F.col("query_id").alias("seed"), F.col("id").alias("node_id")).distinct()
+
+
+def graph_context(seeds: DataFrame, nodes: DataFrame, edges: DataFrame, hops: int) -> DataFrame:
+    """(seed, kind, id, line): the nodes within `hops` of each seed's nodes and the edges between them, as text.
+
+    nodes(id, label, shown_type, description) and edges(id, source_id, target_id,
+    relation) are as the lens shows them. Edges without both ends among the
+    nodes, or without a label at one, have no line.
+    """
+    ball = cut(neighbourhood(seeds, edges, hops))
+    own = ball.select("seed", F.col("node_id").alias("id")).join(described_nodes(nodes), "id")
+    inside = induced(edges, ball).select("seed", "id").join(described_edges(edges, nodes), "id").where("line is not null")
+    return own.select("seed", F.lit("node").alias("kind"), "id", "line").unionByName(inside.select("seed", F.lit("edge").alias("kind"), "id", "line"))
+
+
+def community_search(queries: DataFrame, found: DataFrame, contexts: DataFrame, k: int, per_context: bool = True) -> DataFrame:
+    """(seed, id, line): the k communities nearest to each query in each context, or each model, as 'label: summary'.
+
+    found(id, context_id, space, lens_id, label, summary_text, vec) is first
+    limited to those of the context's active lens or of none, see
+    communities_in_view; one without a vector is never found.
+    """
+    seen = communities_in_view(found.where("vec is not null"), contexts)
+    by = ("space", "context_id") if per_context else ("space",)
+    best = batch_search(queries, seen.select("id", "space", "context_id", "vec"), k, by=by)
+    line = F.concat(F.coalesce("label", F.lit("")), F.lit(": "), F.coalesce("summary_text", F.lit("")))
+    return best.select(F.col("query_id").alias("seed"), "id").join(seen.select("id", line.alias("line")), "id").select("seed", "id", "line")
+
+
+def with_evidence(edges: DataFrame, evidence: DataFrame) -> DataFrame:
+    """Edges with `evidence`, a map from chunk to the words that support the edge; empty where there is none.
+
+    evidence(edge_id, chunk_id, evidence): null chunks are dropped, words may be
+    null, and of several rows of an edge and chunk the greatest words count. The
+    map of an edge is made by grouping by edge, never of more than its chunks.
+    """
+    each = evidence.where("edge_id is not null and chunk_id is not null").groupBy("edge_id", "chunk_id").agg(F.max("evidence").alias("words"))
+    maps = each.groupBy(F.col("edge_id").alias("id")).agg(F.map_from_entries(F.collect_list(F.struct("chunk_id", "words"))).alias("evidence"))
+    kind = dict(maps.dtypes)["evidence"]
+    return edges.join(maps, "id", "left").withColumn("evidence", F.coalesce("evidence", F.create_map().cast(kind)))
+
+
+def moved_to_natural_key(old: DataFrame, evidence: DataFrame) -> DataFrame:
+    """(edge_id, chunk_id) after edges of one natural key became one: evidence of any of them goes to the smallest id.
+
+    The key is context, both ends and the relation without ASCII case; edges with
+    a null in it have no place in the new table. Every pair comes out once.
+    """
+    keyed = old.where("context_id is not null and source_id is not null and target_id is not null and relation_type is not null")
+    key = ["context_id", "source_id", "target_id", "k"]
+    keyed = keyed.select("id", "context_id", "source_id", "target_id", fold_ascii(F.col("relation_type")).alias("k"))
+    new = keyed.groupBy(*key).agg(F.min("id").alias("edge_id"))
+    return evidence.where("chunk_id is not null").join(keyed, evidence["edge_id"] == keyed["id"]).drop("edge_id").join(new, key).select("edge_id", "chunk_id").distinct()
+
+
 def communities_in_view(found: DataFrame, contexts: DataFrame) -> DataFrame:
     """Communities of the context's active lens or of none; found(id, context_id, lens_id), contexts(context_id, active_lens_id)."""
     seen = found.join(contexts, "context_id")

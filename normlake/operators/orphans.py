@@ -16,12 +16,13 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from normlake.plans.runtime import MIN_HOT_ROWS, lookup_join
+from normlake.plans.runtime import MIN_HOT_ROWS, hot_keys, lookup_join
 
 #: Filter bits a parent key; four hash positions a key.
 BITS_PER_KEY = 12
-#: Bounds of the filter: 64 Kibit to 64 Mibit (8 MiB), the most that is ever broadcast.
-MIN_BITS, MAX_BITS = 1 << 16, 1 << 26
+#: Bounds of the filter: 64 Kibit to 256 Mibit (32 MiB), the most that is ever broadcast. It is worth its
+#: place up to some 4 * 10 ** 7 parents; with more it denies ever fewer keys, and the exact join does the rest.
+MIN_BITS, MAX_BITS = 1 << 16, 1 << 28
 
 
 @dataclass(frozen=True)
@@ -106,7 +107,8 @@ def orphans_of_one_parent(refs: DataFrame, parents: DataFrame, min_hot_rows: int
         F.when(F.count("at") == F.count(F.lit(1)), F.min("at")).alias("parent_at"),
     )
     denied = probed.where(~F.col("maybe")).drop("maybe")
-    affirmed = lookup_join(probed.where("maybe").drop("maybe"), keyed, "key", min_hot_rows)
+    # Hot keys are looked for before the probe, so that it runs once.
+    affirmed = lookup_join(probed.where("maybe").drop("maybe"), keyed, "key", hot=hot_keys(refs, "key", min_hot_rows))
     failed = affirmed.where(F.col("there").isNull() | (F.col("parent_at") > F.col("at"))).select(*denied.columns)
     return denied.unionByName(failed)
 

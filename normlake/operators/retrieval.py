@@ -19,8 +19,9 @@ from normlake.functions.vectors import cosine
 #: Constant of reciprocal rank fusion, and of BM25. Fixed values.
 RRF_K = 60
 BM25_K1, BM25_B = 1.2, 0.75
-#: Rows of a block of vectors or queries in batch search.
-BLOCK = 20_000
+#: Rows of a block of queries and of vectors in batch search, and queries multiplied at a time: one
+#: product has 4 million cells, and a task holds a few such arrays.
+QUERY_BLOCK, VECTOR_BLOCK, STRIPE = 4096, 8192, 512
 
 
 def scoped(df: DataFrame, documents: Sequence[int] | None, column: str = "document_id") -> DataFrame:
@@ -49,39 +50,48 @@ def top(df: DataFrame, keys: Sequence[str], k: int, score: str = "score", id_: s
     return df.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
 
-def batch_search(queries: DataFrame, vectors: DataFrame, k: int, by: Sequence[str] = ("space",), block: int = BLOCK) -> DataFrame:
+def batch_search(queries: DataFrame, vectors: DataFrame, k: int, by: Sequence[str] = ("space",), query_block: int = QUERY_BLOCK, vector_block: int = VECTOR_BLOCK) -> DataFrame:
     """(query_id, *by, id, score, rank): for each query of queries(query_id, space, qvec) the k best per `by` of vectors(id, *by, vec).
 
     Both sides are cut into blocks by a hash, and each pair of blocks of a space
-    is one matrix product in one task; only k rows a query leave it. Vectors of
-    another size than the query's are skipped.
+    meets in one task, which multiplies STRIPE queries at a time; only k rows a
+    query leave it. Vectors of another size than the query's are skipped.
     """
     extra = [b for b in by if b != "space"]
-    nq, nv = (max(1, -(-df.count() // block)) for df in (queries, vectors))
+    nq, nv = max(1, -(-queries.count() // query_block)), max(1, -(-vectors.count() // vector_block))
     q = queries.select("query_id", "space", "qvec", F.pmod(F.xxhash64("query_id"), F.lit(nq)).alias("bq")).withColumn("bv", F.explode(F.sequence(F.lit(0), F.lit(nv - 1))))
     v = vectors.select("id", "space", *extra, "vec", F.pmod(F.xxhash64("id"), F.lit(nv)).alias("bv")).withColumn("bq", F.explode(F.sequence(F.lit(0), F.lit(nq - 1))))
     q, v = q.withColumn("bv", F.col("bv").cast("long")), v.withColumn("bq", F.col("bq").cast("long"))
 
+    def unit(column: pd.Series) -> np.ndarray:
+        x = np.stack(column.to_numpy()).astype(np.float64)
+        length = np.linalg.norm(x, axis=1, keepdims=True)
+        return np.divide(x, length, out=np.zeros_like(x), where=length > 0)
+
     def pair(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         out = []
         sizes = right["vec"].map(len).to_numpy() if len(right) else np.array([])
         wanted = left["qvec"].map(len).to_numpy() if len(left) else np.array([])
         for size in np.intersect1d(sizes, wanted):
-            a, b = left[wanted == size], right[sizes == size]
-            x = np.stack(a["qvec"].to_numpy()).astype(np.float64)
-            y = np.stack(b["vec"].to_numpy()).astype(np.float64)
-            length = np.linalg.norm(x, axis=1)[:, None] * np.linalg.norm(y, axis=1)[None]
-            score = np.divide(x @ y.T, length, out=np.zeros(length.shape), where=length > 0)
-            for _, own in b.reset_index(drop=True).groupby(extra, sort=False) if extra else [(None, b.reset_index(drop=True))]:
-                part = score[:, own.index.to_numpy()]
-                ids = own["id"].to_numpy()
-                order = np.lexsort((np.broadcast_to(ids, part.shape), -np.round(part, 9)), axis=1)[:, :k]
-                rows = np.arange(len(a)).repeat(order.shape[1])
-                found = pd.DataFrame({"query_id": a["query_id"].to_numpy()[rows], "space": a["space"].iloc[0]})
-                for e in extra:
-                    found[e] = own[e].iloc[0]
-                found["id"], found["score"] = ids[order.ravel()], part[rows, order.ravel()]
-                out.append(found)
+            a, b = left[wanted == size], right[sizes == size].reset_index(drop=True)
+            x = unit(a["qvec"])
+            for _, own in b.groupby(extra, sort=False) if extra else [(None, b)]:
+                y, ids = unit(own["vec"]), own["id"].to_numpy()
+                for lo in range(0, len(x), STRIPE):
+                    score = x[lo : lo + STRIPE] @ y.T
+                    near = np.round(score, 9)
+                    # What is not behind the k-th stays, ties included; the smaller id decides among those.
+                    last = np.partition(near, -k, axis=1)[:, -k, None] if len(own) > k else np.full((len(near), 1), -np.inf)
+                    row, at = np.nonzero(near >= last)
+                    order = np.lexsort((ids[at], -near[row, at], row))
+                    row, at = row[order], at[order]
+                    keep = np.arange(len(row)) - np.searchsorted(row, row) < k
+                    row, at = row[keep], at[keep]
+                    found = pd.DataFrame({"query_id": a["query_id"].to_numpy()[row + lo], "space": a["space"].iloc[0]})
+                    for e in extra:
+                        found[e] = own[e].iloc[0]
+                    found["id"], found["score"] = ids[at], score[row, at]
+                    out.append(found)
         return pd.concat(out) if out else pd.DataFrame(columns=["query_id", "space", *extra, "id", "score"])
 
     kinds = {c: queries.schema[c].dataType.simpleString() for c in ("query_id", "space")} | {c: vectors.schema[c].dataType.simpleString() for c in (*extra, "id")}
@@ -154,6 +164,18 @@ def rank_merge(scored: DataFrame, k: int, keys: Sequence[str] = ()) -> DataFrame
     return top(scored, list(keys), k)
 
 
+def hybrid_batch(near: DataFrame, words: DataFrame, k: int) -> DataFrame:
+    """(query_id, id, score, rank): near and words(query_id, context_id, id, rank) fused by context, then over the contexts of a query.
+
+    Of each context fanout(k) fused rows count, and a chunk of several contexts
+    adds up. A query that one of the two lists lacks is ranked by the other.
+    """
+    both = near.select("query_id", "context_id", "id", "rank").unionByName(words.select("query_id", "context_id", "id", "rank"))
+    fused = fuse(both, ["query_id", "context_id"], fanout(k))
+    total = fused.groupBy("query_id", "id").agg(F.sum("score").alias("score"))
+    return top(total, ["query_id"], k)
+
+
 def rerank(candidates: DataFrame, scorer: Callable[[list[tuple[str, str]]], list[float]], k: int, batch: int = 16) -> DataFrame:
     """(query_id, id, score, rank): candidates(query_id, id, query, text) by an injected pair scorer, in small batches."""
 
@@ -173,23 +195,11 @@ def pair_tokens(query: Column, text: Column) -> Column:
 
 
 def bm25_batch(index: DataFrame, queries: DataFrame, k: int) -> DataFrame:
-    """(query_id, id, score, rank): the k best chunks for each of queries(query_id, query), by single words.
+    """(query_id, id, score, rank): the k best chunks of postings that are not kept for each of queries(query_id, query), by single words. See keywords.KeywordIndex.batch."""
+    from normlake.operators.keywords import counted, score_batch
 
-    One pass over the postings for all queries: they meet on the word. Words in
-    more than half of the chunks score next to nothing, but count. A null or
-    wordless query finds nothing.
-    """
-    terms = queries.select("query_id", F.explode(search_tokens(F.coalesce("query", F.lit("")))).alias("term")).groupBy("query_id", "term").agg(F.count(F.lit(1)).alias("weight"))
-    wanted = terms.select("term").distinct()
-    words = index.select("id", "length", F.explode("tokens").alias("term")).join(wanted, "term", "left_semi")
-    tf = words.groupBy("term", "id", "length").agg(F.count(F.lit(1)).alias("tf"))
-    df = tf.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
-    stats = index.agg(F.count(F.lit(1)).alias("n"), F.avg("length").alias("mean"))  # one row
-    idf = F.greatest(F.log((F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5)), F.lit(1e-6))
-    part = idf * F.col("tf") * (BM25_K1 + 1) / (F.col("tf") + BM25_K1 * (1 - BM25_B + BM25_B * F.col("length") / F.col("mean")))
-    weighed = tf.join(df, "term").crossJoin(F.broadcast(stats)).select("term", "id", part.alias("part"))
-    score = terms.join(weighed, "term").groupBy("query_id", "id").agg(F.sum(F.col("part") * F.col("weight")).alias("score"))
-    return top(score, ["query_id"], k)
+    stats = index.agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("length").cast("long")).alias("total")).first()
+    return score_batch(counted(index), stats["n"], stats["total"] or 0, queries, k).select("query_id", "id", "score", "rank")
 
 
 def embedded(texts: DataFrame, embedder: Callable[[list[str]], list[list[float]]], batch: int = 16) -> DataFrame:

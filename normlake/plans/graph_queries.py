@@ -123,6 +123,139 @@ def _(s: SparkSession, d: str) -> DataFrame:
     return batch_search(q, v, 5).select("query_id", "id", F.col("rank").cast("long").alias("rank"))
 
 
+# Retrieval from query vectors. The queries are the vectors of nodes whose id is divisible by 100; a context's
+# model is the parity of its number, and a query asks its own model.
+
+_GOOD = "vector_blob is not null and size(vector_blob) = 64 and forall(vector_blob, x -> x is not null and not isnan(x) and abs(x) < float('infinity')) and exists(vector_blob, x -> x <> 0)"
+
+
+def node_vectors(s: SparkSession, d: str) -> DataFrame:
+    v = table(s, d, "ontology_nodes").where(_GOOD).select("id", "context_id", (F.col("context_id") % 2).alias("space"), F.col("vector_blob").alias("vec"))
+    return v.dropDuplicates(["id"])
+
+
+def node_queries(s: SparkSession, d: str) -> DataFrame:
+    return node_vectors(s, d).where("id % 100 = 0").select(F.col("id").alias("query_id"), "space", F.col("vec").alias("qvec"))
+
+
+def _seeded_sql(per: str, k: int) -> str:
+    """Lines of nodes and edges within one hop of the k best nodes a query and context or model."""
+    return f"""WITH RECURSIVE v AS (SELECT id, any_value(context_id) AS context_id, any_value(context_id) % 2 AS space, any_value(vector_blob)::DOUBLE[] AS vec FROM ontology_nodes WHERE {_PLAIN_VECTOR} GROUP BY id),
+    p AS (SELECT q.id AS seed, v.id AS node_id, row_number() OVER (PARTITION BY q.id, v.{per} ORDER BY round(list_cosine_similarity(v.vec, q.vec), 9) DESC, v.id) AS rank FROM v q JOIN v ON v.space = q.space WHERE q.id % 100 = 0),
+    u AS (SELECT source_id AS a, target_id AS b FROM {_LENS} UNION SELECT target_id, source_id FROM {_LENS}),
+    m AS (SELECT seed, node_id FROM p WHERE rank <= {k} UNION SELECT p.seed, u.b FROM p JOIN u ON u.a = p.node_id WHERE rank <= {k} AND u.b IS NOT NULL),
+    n AS (SELECT DISTINCT id, coalesce(label, '') || ' (' || coalesce(shown_type, '') || '): ' || coalesce(description, '') AS line FROM {_N}),
+    e AS (SELECT e.id, source_id, target_id, s.label || ' -[' || relation || ']-> ' || t.label AS line FROM {_LENS} e JOIN ontology_nodes s ON s.id = source_id JOIN ontology_nodes t ON t.id = target_id)
+    SELECT DISTINCT seed, 'node' AS kind, id, line FROM m JOIN n ON n.id = m.node_id
+    UNION ALL SELECT DISTINCT x.seed, 'edge', e.id, e.line FROM e JOIN m x ON x.node_id = e.source_id JOIN m y ON y.node_id = e.target_id AND y.seed = x.seed WHERE e.line IS NOT NULL"""
+
+
+def _graph_of_queries(s: SparkSession, d: str, k: int, per_context: bool) -> DataFrame:
+    seeds = G.seed_nodes(node_queries(s, d), node_vectors(s, d), k, per_context)
+    shown = G.lens_nodes(nodes(s, d), types(s, d))
+    return G.graph_context(seeds, shown, G.lens_edges(edges(s, d), verdicts(s, d)), 1).distinct()
+
+
+@add("g3_graph_retrieval", _seeded_sql("context_id", 1))
+def _(s: SparkSession, d: str) -> DataFrame:
+    """The nearest node of every context of the query's model, and what is one hop around them, as the lens shows it."""
+    return _graph_of_queries(s, d, 1, True)
+
+
+@add("g4_graph_retrieval_batch", _seeded_sql("space", 5))
+def _(s: SparkSession, d: str) -> DataFrame:
+    """The five nearest nodes of the query's model, whatever their contexts, and what is one hop around them."""
+    return _graph_of_queries(s, d, 5, False)
+
+
+#: Communities over the recorded ones: the context and vector of the smallest member, a lens by number, and the active
+#: lens of a context by number.
+_LENSES = "CASE community_id % 3 WHEN 0 THEN NULL ELSE community_id % 3 END"
+
+
+@add(
+    "g5_community_search",
+    f"""WITH v AS (SELECT id, any_value(context_id) AS context_id, any_value(vector_blob)::DOUBLE[] AS vec FROM ontology_nodes WHERE {_PLAIN_VECTOR} GROUP BY id),
+    c AS (SELECT community_id AS id, min(node_id) AS node_id, count(DISTINCT node_id) AS n FROM ontology_community_members GROUP BY 1),
+    o AS (SELECT c.id, v.context_id, v.context_id % 2 AS space, {_LENSES.replace("community_id", "c.id")} AS lens_id, v.vec, 'community ' || c.id || ': ' || c.n || ' members' AS line FROM c JOIN v ON v.id = c.node_id),
+    p AS (SELECT q.id AS seed, o.id, o.line, row_number() OVER (PARTITION BY q.id, o.context_id ORDER BY round(list_cosine_similarity(o.vec, q.vec), 9) DESC, o.id) AS rank
+      FROM v q JOIN o ON o.space = q.context_id % 2 WHERE q.id % 100 = 0 AND (o.lens_id IS NULL OR o.lens_id = 1 + o.context_id % 2))
+    SELECT seed, id, line FROM p WHERE rank <= 2""",
+)
+def _(s: SparkSession, d: str) -> DataFrame:
+    """The two nearest communities of every context of the query's model, under the context's active lens or none."""
+    v = node_vectors(s, d)
+    members = table(s, d, "ontology_community_members").groupBy(F.col("community_id").alias("id")).agg(F.min("node_id").alias("node_id"), F.countDistinct("node_id").alias("n"))
+    lens = F.when(F.col("id") % 3 != 0, F.col("id") % 3)
+    placed = members.join(v.withColumnRenamed("id", "node_id"), "node_id").withColumn("lens_id", lens)
+    label = F.concat(F.lit("community "), F.col("id").cast("string"))
+    found = placed.select("id", "context_id", "space", "lens_id", label.alias("label"), F.concat(F.col("n").cast("string"), F.lit(" members")).alias("summary_text"), "vec")
+    contexts = v.select("context_id", (1 + F.col("context_id") % 2).alias("active_lens_id")).distinct()
+    return G.community_search(node_queries(s, d), found, contexts, 2)
+
+
+#: Evidence of edges: every citation supports the edge of its number and the next one with its key.
+_EVIDENCE = "(SELECT DISTINCT id + o AS edge_id, chunk_id, ref_key AS evidence FROM chunk_refs, (VALUES (0), (1)) AS t(o))"
+
+
+def evidence(s: SparkSession, d: str) -> DataFrame:
+    refs = table(s, d, "chunk_refs").select("id", "chunk_id", "ref_key").distinct()
+    return refs.select(F.explode(F.array(F.col("id"), F.col("id") + 1)).alias("edge_id"), "chunk_id", F.col("ref_key").alias("evidence"))
+
+
+def _listed_evidence(edges_: DataFrame) -> DataFrame:
+    pairs = F.array_sort(F.transform(F.map_entries("evidence"), lambda x: F.struct(x["key"].alias("c"), x["value"].alias("w"))))
+    text = F.array_join(F.transform(pairs, lambda x: F.concat(x["c"].cast("string"), F.lit("="), F.coalesce(x["w"], F.lit("")))), ";")
+    return edges_.select("id", "context_id", "relation", F.size("evidence").cast("long").alias("n"), text.alias("evidence"))
+
+
+def _evidence_sql(edges_: str) -> str:
+    return f"""WITH w AS (SELECT edge_id, chunk_id, max(evidence) AS words FROM {_EVIDENCE} WHERE chunk_id IS NOT NULL GROUP BY 1, 2)
+    SELECT e.id, e.context_id, e.relation, count(w.chunk_id) AS n, coalesce(string_agg(w.chunk_id || '=' || coalesce(w.words, ''), ';' ORDER BY w.chunk_id), '') AS evidence
+    FROM {edges_} e LEFT JOIN w ON w.edge_id = e.id GROUP BY 1, 2, 3"""
+
+
+@add("a8_edge_evidence", _evidence_sql("(SELECT id, context_id, relation_type AS relation FROM ontology_edges GROUP BY ALL)"))
+def _(s: SparkSession, d: str) -> DataFrame:
+    """The map from chunk to words of every raw edge; empty for edges without evidence."""
+    raw = edges(s, d).select("id", "context_id", F.col("relation_type").alias("relation")).distinct()
+    return _listed_evidence(G.with_evidence(raw, evidence(s, d)))
+
+
+@add("j6_lens_edges_with_evidence", _evidence_sql(f"(SELECT DISTINCT id, context_id, relation FROM {_LENS})"))
+def _(s: SparkSession, d: str) -> DataFrame:
+    """Edges as the lens shows them, each with its evidence."""
+    seen = G.lens_edges(edges(s, d), verdicts(s, d)).select("id", "context_id", "relation").distinct()
+    return _listed_evidence(G.with_evidence(seen, evidence(s, d)))
+
+
+@add(
+    "j14_natural_key_migration",
+    f"""WITH o AS (SELECT id, context_id, source_id, target_id, translate(relation_type, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS k FROM {_E}),
+    n AS (SELECT context_id, source_id, target_id, k, min(id) AS edge_id FROM o GROUP BY ALL)
+    SELECT DISTINCT n.edge_id, c.chunk_id FROM {_EVIDENCE} c JOIN o ON o.id = c.edge_id JOIN n USING (context_id, source_id, target_id, k) WHERE c.chunk_id IS NOT NULL""",
+)
+def _(s: SparkSession, d: str) -> DataFrame:
+    """Evidence moved to the edge that stays of each natural key."""
+    return G.moved_to_natural_key(edges(s, d), evidence(s, d))
+
+
+@add("g14_merge_log_newest", "SELECT DISTINCT id, context_id, winner_id, loser_id, loser_label, merged_at FROM ontology_merge_log ORDER BY merged_at DESC, id DESC")
+def _(s: SparkSession, d: str) -> DataFrame:
+    """The merge log, newest first."""
+    return table(s, d, "ontology_merge_log").select("id", "context_id", "winner_id", "loser_id", "loser_label", "merged_at").distinct().orderBy(F.desc("merged_at"), F.desc("id"))
+
+
+@add("m10_merges_of_log")
+def _(s: SparkSession, d: str) -> DataFrame:
+    """The logged merges executed over all nodes and edges, losers put back first; SQL has no sequential merge, so tested against a plain loop."""
+    log = table(s, d, "ontology_merge_log").select("id", "winner_id", "loser_id").distinct()
+    alive = table(s, d, "ontology_nodes").select("id").unionByName(log.select(F.col("loser_id").alias("id"))).where("id is not null").distinct()
+    done = G.executed_merges(log.withColumnRenamed("id", "seq"), alive)
+    _, left = G.merge_nodes(alive, edges(s, d), done)
+    return left.select("id", "context_id", "source_id", "target_id", "relation_type")
+
+
 @add("g9_degree", f"SELECT node_id, count(*) AS degree FROM (SELECT source_id AS node_id FROM {_LENS} UNION ALL SELECT target_id FROM {_LENS}) WHERE node_id IS NOT NULL GROUP BY 1")
 def _(s: SparkSession, d: str) -> DataFrame:
     return G.degrees(G.lens_edges(edges(s, d), verdicts(s, d)))

@@ -6,15 +6,19 @@ queries of the batch operators are the vectors whose id is divisible by 100.
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from normlake.functions import vectors as V
 from normlake.functions.text import match_expression
 from normlake.operators import retrieval as R
+from normlake.operators.keywords import KeywordIndex
 from normlake.operators.state import last_write
 from normlake.plans.registry import Registry, values_sql
-from normlake.plans.runtime import table
+from normlake.plans.runtime import shared_dir, table
+from normlake.sources.store import Store
 
 registry = Registry()
 QUERIES, SQL = registry.queries, registry.sql
@@ -117,10 +121,22 @@ def _bm25(where: str = "true") -> str:
     SELECT id, context_id, {score} AS score FROM x, st WHERE ({hit}) AND NOT is_omitted AND {where})"""
 
 
+_KEPT: dict[tuple[str, str], KeywordIndex] = {}
+
+
+def kept_index(s: SparkSession, d: str) -> KeywordIndex:
+    """The keyword index of a data directory's chunks, in the shared folder; built when it is first asked for in a session."""
+    key = (s.sparkContext.applicationId, d)
+    if key not in _KEPT:
+        index = KeywordIndex(Store(s, f"{shared_dir(s)}/keywords-{uuid.uuid4().hex}"))
+        index.rebuild(table(s, d, "chunks").select("id", F.col("context_id").alias("part"), "text"))
+        _KEPT[key] = index
+    return _KEPT[key]
+
+
 def _keyword(s: SparkSession, d: str) -> DataFrame:
-    chunks = table(s, d, "chunks")
-    kept = chunks.where("not is_omitted").select("id", "context_id")
-    return R.bm25(R.postings(chunks), QUERY).join(kept, "id")
+    kept = table(s, d, "chunks").where("not is_omitted").select("id", "context_id")
+    return kept_index(s, d).bm25(QUERY).select("id", "score").join(kept, "id")
 
 
 @add("r8_bm25", f"SELECT id, round(score, 4) AS score FROM {_bm25()} ORDER BY round(score, 9) DESC, id LIMIT 50")
@@ -135,8 +151,8 @@ def _(s: SparkSession, d: str) -> DataFrame:
 
 @add("r9_phrase", f"SELECT id FROM {_INDEX} WHERE NOT is_omitted AND contains(' ' || array_to_string(tokens, ' ') || ' ', ' der prufung stellte die stelle ')")
 def _(s: SparkSession, d: str) -> DataFrame:
-    chunks = table(s, d, "chunks")
-    return R.phrase_search(R.postings(chunks.where("not is_omitted")), "der Prüfung stellte die Stelle")
+    kept = table(s, d, "chunks").where("not is_omitted").select("id")
+    return kept_index(s, d).phrase("der Prüfung stellte die Stelle").select("id").join(kept, "id", "left_semi")
 
 
 _RRF = [(1, 1 / 61 + 1 / 62, 1), (2, 1 / 62, 3), (3, 1 / 61, 2)]
@@ -256,10 +272,65 @@ _QTERMS = "translate(lower(coalesce(question, '')), 'äöüàâáéèêëîïí
 )
 def _(s: SparkSession, d: str) -> DataFrame:
     queries = table(s, d, "eval_golden_entries").select(F.col("id").alias("query_id"), F.col("question").alias("query"))
-    found = R.bm25_batch(R.postings(table(s, d, "chunks")), queries, 5)
+    found = kept_index(s, d).batch(queries, 5)
     return found.select("query_id", "id", F.col("rank").cast("long").alias("rank"), F.round("score", 4).alias("score"))
 
 
+_KEPT_TERMS = f"""q AS (SELECT id AS query_id, term, count(*) AS w FROM (SELECT id, unnest(list_filter(regexp_split_to_array({_QTERMS}, '[^\\p{{L}}\\p{{N}}]+'), lambda t: t <> '')) AS term FROM eval_golden_entries) GROUP BY 1, 2),
+    x AS (SELECT id, len(tokens) AS dl, unnest(tokens) AS term FROM {_INDEX}), tf AS (SELECT term, id, dl, count(*) AS tf FROM x GROUP BY 1, 2, 3), df AS (SELECT term, count(*) AS df FROM tf GROUP BY 1),
+    st AS (SELECT count(*) AS n, avg(len(tokens)) AS mean FROM {_INDEX}),
+    sc AS (SELECT query_id, id, sum(w * greatest(ln((n - df + 0.5) / (df + 0.5)), 1e-6) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * dl / mean))) AS score FROM q JOIN tf USING (term) JOIN df USING (term), st GROUP BY 1, 2)"""
+
+
+@add(
+    "r13_hybrid_batch",
+    f"""WITH {_KEPT_TERMS},
+    c AS (SELECT id, context_id FROM chunks WHERE NOT is_omitted),
+    k AS (SELECT query_id, context_id, id, row_number() OVER (PARTITION BY query_id, context_id ORDER BY round(score, 9) DESC, id) AS rank FROM sc JOIN c USING (id)),
+    v AS (SELECT query_id, context_id, id, row_number() OVER (PARTITION BY query_id, context_id ORDER BY round(score, 9) DESC, id) AS rank
+      FROM (SELECT g.id AS query_id, c.context_id, c.id, list_cosine_similarity(e.embedding::DOUBLE[], a.embedding::DOUBLE[]) AS score
+      FROM eval_golden_entries g JOIN embeddings a ON a.vec_id = g.id, c JOIN embeddings e ON e.vec_id = c.id)),
+    f AS (SELECT query_id, context_id, id, sum(1.0 / (60 + rank)) AS score FROM (SELECT * FROM v WHERE rank <= 50 UNION ALL SELECT query_id, context_id, id, rank FROM k WHERE rank <= 50) GROUP BY 1, 2, 3),
+    g AS (SELECT *, row_number() OVER (PARTITION BY query_id, context_id ORDER BY round(score, 9) DESC, id) AS rank FROM f),
+    t AS (SELECT query_id, id, sum(score) AS score FROM g WHERE rank <= 50 GROUP BY 1, 2),
+    r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, id) AS rank FROM t)
+    SELECT query_id, id, rank, round(score, 6) AS score FROM r WHERE rank <= {K}""",
+)
+def _(s: SparkSession, d: str) -> DataFrame:
+    """All golden questions with their words and, where there is one, their vector: the embedding of their number."""
+    chunks = table(s, d, "chunks").where("not is_omitted").select("id", "context_id")
+    golden = table(s, d, "eval_golden_entries").select(F.col("id").alias("query_id"), F.coalesce("question", F.lit("")).alias("query"))
+    vectors = table(s, d, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("vec"))
+    asked_ = golden.join(vectors.withColumnRenamed("id", "query_id"), "query_id").select("query_id", F.lit(0).alias("space"), F.col("vec").alias("qvec"))
+    n = R.fanout(K)
+    near = R.batch_search(asked_, chunks.join(vectors, "id").withColumn("space", F.lit(0)), n, by=("space", "context_id"))
+    words = kept_index(s, d).batch(golden, n, by_part=True, kept=chunks).withColumnRenamed("part", "context_id")
+    fused = R.hybrid_batch(near, words, K)
+    return fused.select("query_id", "id", F.col("rank").cast("long").alias("rank"), F.round("score", 6).alias("score"))
+
+
+#: A log of changes to the index: of the texts of context 3, those whose id leaves 1 of 3 are changed, 2 deleted, and one comes in.
+_EDITED = "SELECT id, CASE WHEN context_id = 3 AND id % 3 = 1 THEN 'Leasingfrist neu geregelt' ELSE text END AS text FROM chunks WHERE NOT (context_id = 3 AND id % 3 = 2) UNION ALL SELECT 900000000, 'eine neue Leasingfrist'"
+
+
+@add(
+    "m14_synced_index",
+    f"""WITH t AS ({_EDITED}), x AS (SELECT id, list_filter(regexp_split_to_array({_PLAIN}, '[^\\p{{L}}\\p{{N}}]+'), lambda t: t <> '') AS tokens FROM t),
+    st AS (SELECT count(*) AS n, avg(len(tokens)) AS mean FROM x), h AS (SELECT id, len(tokens) AS dl, len(list_filter(tokens, lambda t: t = 'leasingfrist')) AS tf FROM x),
+    df AS (SELECT count(*) AS df FROM h WHERE tf > 0)
+    SELECT id, round(greatest(ln((n - df + 0.5) / (df + 0.5)), 1e-6) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * dl / mean)), 4) AS score FROM h, st, df WHERE tf > 0""",
+)
+def _(s: SparkSession, d: str) -> DataFrame:
+    """An index that follows inserts, changes and deletions of texts."""
+    index = KeywordIndex(Store(s, f"{shared_dir(s)}/keywords-{uuid.uuid4().hex}"))
+    texts = table(s, d, "chunks").select("id", F.col("context_id").alias("part"), "text")
+    index.rebuild(texts)
+    own = texts.where("part = 3")
+    fresh = s.createDataFrame([(900_000_000, 3, "eine neue Leasingfrist")], "id long, part long, text string")
+    index.apply(own.where("id % 3 = 1").withColumn("text", F.lit("Leasingfrist neu geregelt")).unionByName(fresh), own.where("id % 3 = 2").select("id"))
+    return index.bm25("Leasingfrist").select("id", F.round("score", 4).alias("score"))
+
+
 @add("r5_text_to_hits")
 def _(s: SparkSession, d: str) -> DataFrame:
     """Questions embedded by an injected embedder, here letter counts; there is no model to compare with."""

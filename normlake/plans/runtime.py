@@ -87,14 +87,15 @@ def hot_keys(df: DataFrame, key: str, min_rows: int = MIN_HOT_ROWS) -> list:
     return [r[0] for r in rows]
 
 
-def lookup_join(facts: DataFrame, keyed: DataFrame, key: str, min_hot_rows: int = MIN_HOT_ROWS) -> DataFrame:
+def lookup_join(facts: DataFrame, keyed: DataFrame, key: str, min_hot_rows: int = MIN_HOT_ROWS, hot: list | None = None) -> DataFrame:
     """Left join of facts with a table that is unique by `key`, safe against hot keys.
 
     Rows of hot keys (a bounded list) meet a broadcast of the at most
     MAX_HOT_KEYS matching rows of `keyed`; all others meet it by a shuffle join.
-    Null keys find no match and stay.
+    Null keys find no match and stay. The hot keys are looked for in the facts,
+    unless they are given.
     """
-    hot = hot_keys(facts, key, min_hot_rows)
+    hot = hot_keys(facts, key, min_hot_rows) if hot is None else hot
     if not hot:
         return facts.join(keyed, key, "left")
     spark = facts.sparkSession

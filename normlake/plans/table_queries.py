@@ -96,14 +96,33 @@ PAGE_KEYS = ("page", "Page", "seite", "Seite")
 _PAGES = " OR ".join(f"coalesce(try_cast(nullif(regexp_extract(CASE WHEN json_valid(metadata) THEN metadata ->> '$.{k}' END, '^\\s*([+-]?\\d+)', 1), '') AS BIGINT), CASE WHEN json_valid(metadata) AND (metadata ->> '$.{k}') IS NOT NULL THEN 0 END) = 4" for k in PAGE_KEYS)
 
 
-@add("f8_by_page", f"SELECT id FROM chunks WHERE {_PAGES}")
-def _(s: SparkSession, d: str) -> DataFrame:
+#: Pages by rule, since the tables have none: under any of the keys, as number or text, with blanks or letters around, or in broken JSON.
+_PAGED = """(SELECT id, CASE id % 6 WHEN 0 THEN '{"page": ' || chunk_index || '}' WHEN 1 THEN '{"Page": "' || chunk_index || 'a"}' WHEN 2 THEN '{"seite": " ' || chunk_index || ' "}'
+ WHEN 3 THEN '{"page": ' || chunk_index WHEN 4 THEN '{"Seite": "x' || chunk_index || '"}' END AS metadata FROM chunks)"""
+
+
+def _by_page(rows: DataFrame, page: int) -> DataFrame:
+    """Rows whose metadata name the page under any of PAGE_KEYS; a text counts with its leading number, or as 0."""
     hit = F.lit(False)
     for k in PAGE_KEYS:
         value = F.get_json_object("metadata", f"$.{k}")
         number = F.regexp_extract(value, r"^\s*([+-]?\d+)", 1).try_cast("long")
-        hit = hit | F.coalesce(F.when(value.isNotNull(), F.coalesce(number, F.lit(0))) == 4, F.lit(False))
-    return chunks(s, d).where(hit).select("id")
+        hit = hit | F.coalesce(F.when(value.isNotNull(), F.coalesce(number, F.lit(0))) == page, F.lit(False))
+    return rows.where(hit)
+
+
+def _paged(s: SparkSession, d: str) -> DataFrame:
+    at, rest = F.col("chunk_index").cast("string"), F.col("id") % 6
+    made = F.when(rest == 0, F.concat(F.lit('{"page": '), at, F.lit("}"))).when(rest == 1, F.concat(F.lit('{"Page": "'), at, F.lit('a"}'))).when(rest == 2, F.concat(F.lit('{"seite": " '), at, F.lit(' "}')))
+    made = made.when(rest == 3, F.concat(F.lit('{"page": '), at)).when(rest == 4, F.concat(F.lit('{"Seite": "x'), at, F.lit('"}')))
+    return chunks(s, d).select("id", made.alias("metadata"))
+
+
+@add("f8_by_page", f"SELECT id FROM {_PAGED} WHERE {_PAGES.replace(') = 4', ') = 1')} UNION ALL SELECT -id FROM {_PAGED} WHERE {_PAGES.replace(') = 4', ') = 0')}")
+def _(s: SparkSession, d: str) -> DataFrame:
+    """The chunks of page 1, and under negative ids those of page 0, where everything without a number falls."""
+    rows = _paged(s, d)
+    return _by_page(rows, 1).select("id").unionByName(_by_page(rows, 0).select((-F.col("id")).alias("id")))
 
 
 @add("f9_missing_vectors", "SELECT DISTINCT id, context_id FROM ontology_nodes WHERE vector_blob IS NULL")
@@ -225,17 +244,6 @@ def _(s: SparkSession, d: str) -> DataFrame:
     return table(s, d, "events").groupBy("event_type").agg(F.round(F.avg("value"), 4).alias("mean"))
 
 
-@add(
-    "a8_evidence_map",
-    """SELECT context_id, string_agg(id || ':' || coalesce(ref_key, ''), ',' ORDER BY id, ref_key) AS evidence FROM (SELECT DISTINCT id, context_id, ref_key FROM chunk_refs WHERE chunk_id IS NOT NULL) GROUP BY context_id""",
-)
-def _(s: SparkSession, d: str) -> DataFrame:
-    refs = table(s, d, "chunk_refs").where("chunk_id is not null").select("id", "context_id", "ref_key").distinct()
-    listed = F.array_sort(F.collect_list(F.struct("id", "ref_key")))
-    text = F.array_join(F.transform(listed, lambda x: F.concat(x["id"].cast("string"), F.lit(":"), F.coalesce(x["ref_key"], F.lit("")))), ",")
-    return refs.groupBy("context_id").agg(text.alias("evidence"))
-
-
 @add("a9_distinct_keys", "SELECT DISTINCT ref_key FROM chunk_refs")
 def _(s: SparkSession, d: str) -> DataFrame:
     return table(s, d, "chunk_refs").select("ref_key").distinct()
@@ -267,9 +275,34 @@ def _(s: SparkSession, d: str) -> DataFrame:
     return table(s, d, "chunk_refs").groupBy("context_id", fold_ascii(F.col("ref_key")).alias("k")).agg(F.min("id").alias("id"), F.min("created_at").alias("created_at"))
 
 
-@add("a14_mean_length", "SELECT context_id, round(avg(length(text)), 4) AS mean FROM chunks GROUP BY context_id")
+#: Laid-out lines by rule, since the tables have none: a chunk is a line of its document, four lines a page, with a size and a
+#: place by number; the fourth line of a page stands apart.
+_LINES = "(SELECT document_id AS doc_id, chunk_index // 4 AS page, chunk_index AS line_no, 1000 + 120 * (chunk_index % 4) + CASE WHEN chunk_index % 4 = 3 THEN 400 ELSE 0 END AS y, text, 8.0::DOUBLE + id % 5 AS size, id FROM chunks)"
+
+
+def lines(s: SparkSession, d: str) -> DataFrame:
+    i = F.col("chunk_index")
+    y = 1000 + 120 * (i % 4) + F.when(i % 4 == 3, 400).otherwise(0)
+    return chunks(s, d).select(F.col("document_id").alias("doc_id"), F.floor(i / 4).alias("page"), i.alias("line_no"), y.alias("y"), "text", (F.lit(8.0) + F.col("id") % 5).alias("size"), "id")
+
+
+@add("a14_mean_font_size", f"SELECT doc_id, round(sum(size * length(coalesce(text, ''))) / nullif(sum(length(coalesce(text, ''))), 0), 6) AS mean FROM {_LINES} GROUP BY doc_id")
+def _(s: SparkSession, d: str) -> DataFrame:
+    from normlake.operators.chunking import mean_font_size
+
+    return mean_font_size(lines(s, d)).select("doc_id", F.round("mean", 6).alias("mean"))
+
+
+@add(
+    "w6_fresh_lines",
+    f"""WITH l AS (SELECT *, lag(page) OVER w AS p, lag(y) OVER w AS above FROM {_LINES} WHERE trim(coalesce(text, '')) <> '' WINDOW w AS (PARTITION BY doc_id ORDER BY page, line_no, id))
+    SELECT id, (p IS NULL OR p <> page OR abs(above - y) / 10 > 1.5 * size) AS fresh FROM l""",
+)
 def _(s: SparkSession, d: str) -> DataFrame:
-    return chunks(s, d).groupBy("context_id").agg(F.round(F.avg(F.length("text")), 4).alias("mean"))
+    from normlake.operators.chunking import fresh_lines
+
+    # Of lines with one number the smaller id comes first.
+    return fresh_lines(lines(s, d).withColumn("line_no", F.struct("line_no", "id"))).select("id", "fresh")
 
 
 # Windows
@@ -313,11 +346,37 @@ def _(s: SparkSession, d: str) -> DataFrame:
 
 @add(
     "w7_chunk_of_start",
-    """SELECT id, max(CASE WHEN chunk_index % 4 = 0 THEN chunk_index END) OVER (PARTITION BY document_id ORDER BY chunk_index, id ROWS UNBOUNDED PRECEDING) AS start_index FROM chunks""",
+    """WITH c AS (SELECT id, document_id, chunk_index, nullif(trim(CASE WHEN json_valid(metadata) THEN metadata ->> '$.section' END), '') AS section FROM chunks),
+    l AS (SELECT *, lag(section) OVER (PARTITION BY document_id ORDER BY chunk_index, id) AS before FROM c)
+    SELECT id, max(CASE WHEN section IS NOT NULL AND section IS DISTINCT FROM before THEN chunk_index END) OVER (PARTITION BY document_id ORDER BY chunk_index, id ROWS UNBOUNDED PRECEDING) AS start_index FROM l""",
 )
 def _(s: SparkSession, d: str) -> DataFrame:
-    w = Window.partitionBy("document_id").orderBy("chunk_index", "id").rowsBetween(Window.unboundedPreceding, 0)
-    return chunks(s, d).select("id", F.max(F.when(F.col("chunk_index") % 4 == 0, F.col("chunk_index"))).over(w).alias("start_index"))
+    """The place at which the section of a chunk starts: the largest start up to it. A start is a chunk that names another section than the one before."""
+    h = F.trim(F.get_json_object("metadata", "$.section"))
+    order = Window.partitionBy("document_id").orderBy("chunk_index", "id")
+    c = chunks(s, d).select("id", "document_id", "chunk_index", F.when(h != "", h).alias("section"))
+    starts = F.when(F.col("section").isNotNull() & ~F.col("section").eqNullSafe(F.lag("section").over(order)), F.col("chunk_index"))
+    marked = c.withColumn("start", starts)
+    return marked.select("id", F.max("start").over(order.rowsBetween(Window.unboundedPreceding, 0)).alias("start_index"))
+
+
+@add(
+    "n18_complete_section",
+    """WITH c AS (SELECT id, document_id, chunk_index, nullif(CASE WHEN json_valid(metadata) THEN metadata ->> '$.section' END, '') AS section, is_omitted AS o FROM chunks),
+    u AS (SELECT document_id, chunk_index, min(id) AS id, arg_min(coalesce(section, ''), id) AS section, arg_min(o, id) AS o FROM c GROUP BY 1, 2),
+    l AS (SELECT document_id, chunk_index, lead(id, 1) OVER w AS i1, lead(id, 2) OVER w AS i2, lead(id, 3) OVER w AS i3, lead(section, 1) OVER w AS s1, lead(section, 2) OVER w AS s2, lead(section, 3) OVER w AS s3,
+      lead(o, 1) OVER w AS o1, lead(o, 2) OVER w AS o2, lead(o, 3) OVER w AS o3, lead(chunk_index, 1) OVER w AS n1, lead(chunk_index, 2) OVER w AS n2, lead(chunk_index, 3) OVER w AS n3 FROM u WINDOW w AS (PARTITION BY document_id ORDER BY chunk_index)),
+    k AS (SELECT c.id AS chunk_id, i1, i2, i3, coalesce(n1 = c.chunk_index + 1 AND NOT o1 AND s1 = c.section, false) AS a, coalesce(n2 = c.chunk_index + 2 AND NOT o2 AND s2 = c.section, false) AS b,
+      coalesce(n3 = c.chunk_index + 3 AND NOT o3 AND s3 = c.section, false) AS d FROM c JOIN l USING (document_id, chunk_index) WHERE c.section IS NOT NULL AND trim(c.section) <> '')
+    SELECT chunk_id, CASE WHEN a AND b THEN i1 || ',' || i2 WHEN a THEN i1::VARCHAR ELSE '' END AS continuation, CASE WHEN a AND b AND d THEN i3 END AS continues_at FROM k""",
+)
+def _(s: SparkSession, d: str) -> DataFrame:
+    """For every chunk with a section, up to two chunks that carry it on, and where it goes on after them."""
+    from normlake.operators.chunking import continued_sections
+
+    c = chunks(s, d).withColumn("section", F.get_json_object("metadata", "$.section"))
+    found = continued_sections(c, 2)
+    return found.select("chunk_id", F.array_join(F.col("continuation").cast("array<string>"), ",").alias("continuation"), "continues_at")
 
 
 # Order, limits, sets

@@ -14,8 +14,8 @@ from pyspark.sql import functions as F
 
 from normlake.operators import chunking as C
 from normlake.operators import refs as N
-from normlake.operators import retrieval as R
 from normlake.plans.registry import Registry, values_sql
+from normlake.plans.retrieval_queries import kept_index
 from normlake.plans.runtime import cut, table
 
 registry = Registry()
@@ -235,7 +235,7 @@ def _(s: SparkSession, d: str) -> DataFrame:
     """The five best chunks of every golden question, expanded by the sites of what they cite, in order of the citations."""
     queries = table(s, d, "eval_golden_entries").select(F.col("id").alias("query_id"), F.col("question").alias("query"))
     chunks, refs = table(s, d, "chunks"), table(s, d, "chunk_refs")
-    hits = cut(R.bm25_batch(R.postings(chunks), queries, 5).select("query_id", "rank", F.col("id").alias("chunk_id")))
+    hits = cut(kept_index(s, d).batch(queries, 5).select("query_id", "rank", F.col("id").alias("chunk_id")))
     cited = refs.where("ref_key is not null").join(hits.select("chunk_id").distinct(), "chunk_id", "left_semi").groupBy("chunk_id", "ref_key").agg(F.min("id").alias("id"))
     cited = cut(cited)
     sites = N.resolve(cited.select("ref_key"), chunks, refs, TABLE_LEXICON).withColumnRenamed("chunk_id", "site")

@@ -1,8 +1,9 @@
 """Upserts from a stream into a table of a store.
 
 A micro-batch is folded with the same rules as a batch of changes, then put over
-the snapshot by key. A batch that is delivered again changes nothing, since the
-last write of a key is told by `seq` and not by arrival.
+the snapshot by key. The table lies in buckets of its keys, and only those that a
+batch touches are read and written again. A batch that is delivered again changes
+nothing, since the last write of a key is told by `seq` and not by arrival.
 """
 
 from __future__ import annotations
@@ -10,19 +11,38 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from normlake.operators.state import last_write
 from normlake.sources.store import Store
 
 
-def upsert(store: Store, name: str, changes: DataFrame, keys: Sequence[str]) -> None:
-    """Put changes(keys, seq, ...) over the table, which keeps seq; the greatest seq of a key wins."""
-    rows = changes
-    if name in store.tables():
-        rows = store.read(name).unionByName(changes)
-    folded = last_write(rows.withColumn("seq_", rows["seq"]), keys)
-    store.commit({name: folded.withColumnRenamed("seq_", "seq").select(*changes.columns)})
+#: Rows of a bucket, about; a table that outgrows its buckets is laid out anew with twice as many.
+BUCKET_ROWS = 1_000_000
+
+
+def upsert(store: Store, name: str, changes: DataFrame, keys: Sequence[str], bucket_rows: int = BUCKET_ROWS) -> None:
+    """Put changes(keys, seq, ...) over the table, which keeps seq; the greatest seq of a key wins.
+
+    A commit of somebody else in between is a Conflict, and nothing is changed.
+    """
+    base = store.manifest()["number"]
+    held = store.buckets(name)
+    rows = store.read(name).count() if held else changes.count()
+    count = max(1, len(held))
+    while count * bucket_rows < rows:
+        count *= 2
+    bucket = F.pmod(F.xxhash64(*keys), F.lit(count)).cast("int").alias("_bucket")
+    if count == len(held):
+        touched = sorted(r[0] for r in changes.select(bucket).distinct().collect())  # at most `count`
+        old = store.read_buckets(name, touched)
+    else:
+        touched = list(range(count))
+        old = store.read(name) if held else None
+    both = changes if old is None else old.unionByName(changes)
+    folded = last_write(both.withColumn("seq_", both["seq"]), keys).withColumnRenamed("seq_", "seq").select(*changes.columns, bucket)
+    store.commit_buckets(name, folded, "_bucket", touched, count, base)
 
 
 def upsert_stream(changes: DataFrame, store: Store, name: str, keys: Sequence[str], checkpoint: str) -> StreamingQuery:
