@@ -15,6 +15,7 @@ import uuid
 from collections.abc import Callable, Sequence
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql.types import StructType
 
 #: Names of manifests; the highest number counts.
 MANIFEST = "manifest-{:010d}.json"
@@ -43,7 +44,7 @@ class Store:
     def manifest(self, number: int | None = None) -> dict:
         number = self._latest() if number is None else number
         if not number:
-            return {"schema_version": self.schema_version, "tables": {}, "number": 0}
+            return {"schema_version": self.schema_version, "tables": {}, "schemas": {}, "number": 0}
         stream = self._fs.open(self._path(f"{self.root}/{MANIFEST.format(number)}"))
         try:
             return json.loads(bytes(stream.readAllBytes()).decode()) | {"number": number}
@@ -55,9 +56,14 @@ class Store:
 
     def read(self, name: str) -> DataFrame:
         """The current snapshot of a table; an unknown name is an error."""
-        place = self.manifest()["tables"][name]
-        places = [place] if isinstance(place, str) else sorted(set(place.values()))
-        return self.spark.read.parquet(*[f"{self.root}/{p}" for p in places])
+        found = self.manifest()
+        place = found["tables"][name]
+        return self._open(found, name, [place] if isinstance(place, str) else sorted(set(place.values())))
+
+    def _open(self, found: dict, name: str, places: Sequence[str]) -> DataFrame:
+        # The manifest knows the columns: a partitioned table without rows has no file that does.
+        schema = StructType.fromJson(found["schemas"][name])
+        return self.spark.read.schema(schema).parquet(*[f"{self.root}/{p}" for p in places])
 
     def buckets(self, name: str) -> list[str]:
         """Where the buckets of a table lie, in order; a table that is not in buckets is one."""
@@ -67,7 +73,7 @@ class Store:
     def read_buckets(self, name: str, wanted: Sequence[int]) -> DataFrame:
         """The rows of some buckets of a table."""
         own = self.buckets(name)
-        return self.spark.read.parquet(*[f"{self.root}/{own[b]}" for b in wanted])
+        return self._open(self.manifest(), name, [own[b] for b in wanted])
 
     def commit_buckets(self, name: str, df: DataFrame, bucket: str, written: Sequence[int], count: int, base: int | None = None) -> None:
         """Replace the buckets `written` of a table of `count` by the rows of df, told apart by its column `bucket`; the others stay as they are."""
@@ -76,15 +82,16 @@ class Store:
         found.pop("number")
         place = f"{name}/{uuid.uuid4().hex}"
         df.repartition(len(written), bucket).write.partitionBy(bucket).parquet(f"{self.root}/{place}")
-        # A bucket without rows has no folder: an empty table of the same columns stands for it.
+        # A bucket without rows has no folder: an empty one stands for it.
         made = {f.getPath().getName() for f in self._fs.listStatus(self._path(f"{self.root}/{place}"))}
         own = dict(enumerate(self.buckets(name))) if len(self.buckets(name)) == count else {}
         for b in written:
             folder = f"{bucket}={b}"
             if folder not in made:
-                df.drop(bucket).limit(0).write.parquet(f"{self.root}/{place}/{folder}")
+                self._fs.mkdirs(self._path(f"{self.root}/{place}/{folder}"))
             own[b] = f"{place}/{folder}"
         found["tables"][name] = {str(b): p for b, p in own.items()}
+        found["schemas"][name] = df.drop(bucket).schema.jsonValue()
         self._publish(number, found)
 
     def commit(self, changed: dict[str, DataFrame], partition_by: dict[str, list[str]] | None = None, drop: Sequence[str] = (), schema_version: int | None = None, base: int | None = None) -> None:
@@ -101,8 +108,10 @@ class Store:
             place = f"{name}/{uuid.uuid4().hex}"
             df.write.partitionBy(*(partition_by or {}).get(name, [])).parquet(f"{self.root}/{place}")
             found["tables"][name] = place
+            found["schemas"][name] = df.schema.jsonValue()
         for name in drop:
             found["tables"].pop(name, None)
+            found["schemas"].pop(name, None)
         if schema_version is not None:
             found["schema_version"] = schema_version
         self._publish(number, found)
