@@ -200,7 +200,7 @@ def pack(sizes: DataFrame, capacity: int, key: str = "doc_id", size: str = "n_to
 
     An item within the capacity is one piece, 0. A larger one is cut into full
     pieces and a rest, only then. Items of size 0 or null take no room and come
-    out in container 0. Keys may repeat; each row is an item. An empty table
+    out in no container (null). Keys may repeat; each row is an item. An empty table
     gives no rows.
     """
     spark = sizes.sparkSession
@@ -236,7 +236,7 @@ def pack(sizes: DataFrame, capacity: int, key: str = "doc_id", size: str = "n_to
             some = s > 0
             at = np.searchsorted(starts, (s[some] << 44) | rank[some], side="right") - 1
             out[some] = shift[at] + rank[some]
-            yield pd.Series(out)
+            yield pd.Series(out).astype("Int64").where(some)
 
     order = Window.partitionBy("n_tokens", "slice").orderBy(key, "piece")
     placed = items.withColumn("place", F.row_number().over(order) - 1)

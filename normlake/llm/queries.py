@@ -91,6 +91,25 @@ def p9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(count_tokens(table(spark, sf_dir, "documents")), CAPACITY)
 
 
+def p9_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What must hold of p9_packing, counted: every document once and whole, no container too full, nothing split that fits, nothing placed that is empty."""
+    sizes = cut(count_tokens(table(spark, sf_dir, "documents")))
+    placed = cut(pack(sizes, CAPACITY))
+    of_doc = placed.groupBy("doc_id").agg(F.sum("n_tokens").alias("placed"), F.count(F.lit(1)).alias("pieces"), F.max(F.col("container").isNull()).alias("nowhere"))
+    both = sizes.groupBy("doc_id").agg(F.sum("n_tokens").alias("n")).join(of_doc, "doc_id", "full")
+    fill = placed.where("container is not null").groupBy("container").agg(F.sum("n_tokens").alias("fill"))
+    one = lambda df, name: df.agg(F.count(F.lit(1)).alias("n")).select(F.lit(name).alias("what"), "n")
+    found = one(sizes.where("doc_id is not null").select("doc_id").distinct(), "documents")
+    for df, name in (
+        (both.where("n is null or placed is null or n <> placed"), "documents not whole"),
+        (fill.where(F.col("fill") > CAPACITY), "containers too full"),
+        (both.where(F.col("pieces") > F.greatest(F.lit(1), F.ceil(F.col("n") / CAPACITY))), "documents split without need"),
+        (both.where("nowhere <> (n = 0)"), "documents in no container, or empty in one"),
+    ):
+        found = found.unionByName(one(df, name))
+    return found
+
+
 def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return find_spam_pages(table(spark, sf_dir, "documents"))
 
@@ -106,6 +125,7 @@ QUERIES = {
     "p7_conversations": p7_conversations,
     "p8_ids": p8_ids,
     "p9_packing": p9_packing,
+    "p9_checks": p9_checks,
     "p10_found": p10_found,
 }
 
@@ -155,6 +175,8 @@ k AS (SELECT o.*, n.n FROM (SELECT table_name, id, word, count(*) AS c FROM w GR
 s AS (SELECT a.table_name, a.id AS id_a, b.id AS id_b, any_value(a.n) + any_value(b.n) AS total, sum(least(a.c, b.c)) AS shared
   FROM k a JOIN k b ON a.table_name = b.table_name AND a.word = b.word AND a.id < b.id AND a.n >= 0.75 * b.n AND b.n >= 0.75 * a.n GROUP BY 1, 2, 3)
 SELECT table_name, id_a, id_b FROM s WHERE shared >= 0.75 * (total - shared)""",
+    "p9_checks": """
+SELECT 'documents' AS what, count(DISTINCT doc_id) AS n FROM documents UNION ALL SELECT what, 0 FROM (VALUES ('documents not whole'), ('containers too full'), ('documents split without need'), ('documents in no container, or empty in one')) AS t(what)""",
     "p3_found": """
 WITH RECURSIVE l AS (SELECT winner_id AS a, loser_id AS b FROM ontology_merge_log
   UNION SELECT id1, id2 FROM ontology_dedup_cache WHERE identical),
