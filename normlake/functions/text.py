@@ -3,13 +3,23 @@
 from __future__ import annotations
 
 import re
+import unicodedata
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-#: Accented letters and what they are searched as.
-ACCENTED = "äöüàâáéèêëîïíôóòûùúçñãåø"
-PLAIN = "aouaaaeeeeiiiooouuucnaao"
+def _accented() -> dict[str, str]:
+    """Every small letter that is another one with marks, by the Unicode decomposition, and ø, which has none."""
+    found = {"ø": "o"}
+    for c in map(chr, range(0xC0, 0x2000)):
+        base, *marks = unicodedata.normalize("NFD", c)
+        if marks and c == c.lower() and base.isalpha() and all(unicodedata.category(m) == "Mn" for m in marks):
+            found[c] = base
+    return found
+
+
+#: Accented letters and what they are searched as.
+ACCENTED, PLAIN = map("".join, zip(*sorted(_accented().items()), strict=True))
 
 
 def search_tokens(text: Column) -> Column:

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from normlake.functions import vectors as V
-from normlake.functions.text import match_expression
+from normlake.functions.text import ACCENTED, PLAIN, match_expression
 from normlake.operators import retrieval as R
 from normlake.operators.keywords import KeywordIndex
 from normlake.operators.state import last_write
@@ -99,7 +99,7 @@ def _(s: SparkSession, d: str) -> DataFrame:
 
 #: A keyword query with a phrase term; the words are neither very rare nor in most chunks.
 QUERY = "Depotquote Leasingfrist surcharge 27.8.2020"
-_PLAIN = "translate(lower(coalesce(text, '')), 'äöüàâáéèêëîïíôóòûùúçñãåø', 'aouaaaeeeeiiiooouuucnaao')"
+_PLAIN = f"translate(lower(coalesce(text, '')), '{ACCENTED}', '{PLAIN}')"
 _INDEX = f"(SELECT id, context_id, is_omitted, list_filter(regexp_split_to_array({_PLAIN}, '[^\\p{{L}}\\p{{N}}]+'), lambda t: t <> '') AS tokens FROM chunks)"
 
 
@@ -258,7 +258,7 @@ def _(s: SparkSession, d: str) -> DataFrame:
     return R.rank_merge(scored.withColumn("q", F.lit(1)), 4, ["q"]).select("id", F.col("rank").cast("long").alias("rank"))
 
 
-_QTERMS = "translate(lower(coalesce(question, '')), 'äöüàâáéèêëîïíôóòûùúçñãåø', 'aouaaaeeeeiiiooouuucnaao')"
+_QTERMS = f"translate(lower(coalesce(question, '')), '{ACCENTED}', '{PLAIN}')"
 
 
 @add(

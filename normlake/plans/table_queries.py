@@ -5,14 +5,18 @@ Rows of a table with one id are one row; `once` says so where it matters.
 
 from __future__ import annotations
 
+from datetime import datetime
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from normlake.functions.dates import with_age
 from normlake.functions.text import estimated_tokens
 from normlake.operators.graph import degrees, fold_ascii
 from normlake.operators.state import keep_last_n
 from normlake.plans.registry import Registry
 from normlake.plans.runtime import table
+from normlake.sources.database import Database
 
 registry = Registry()
 QUERIES, SQL = registry.queries, registry.sql
@@ -260,18 +264,12 @@ def _(s: SparkSession, d: str) -> DataFrame:
     return table(s, d, "chunk_refs").where("chunk_id is not null").select("id", "chunk_id").distinct().groupBy("chunk_id").agg(F.count(F.lit(1)).alias("density"))
 
 
-@add("a12_first_of_natural_key", "SELECT context_id, lower(ref_key) AS k, min(id) AS id, min(created_at) AS created_at FROM chunk_refs WHERE NOT regexp_matches(ref_key, '[^\\x00-\\x7F]') GROUP BY 1, 2")
-def _(s: SparkSession, d: str) -> DataFrame:
-    ascii_ = table(s, d, "chunk_refs").where(~F.col("ref_key").rlike(r"[^\x00-\x7F]"))
-    return ascii_.groupBy("context_id", fold_ascii(F.col("ref_key")).alias("k")).agg(F.min("id").alias("id"), F.min("created_at").alias("created_at"))
-
-
 _FOLD = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
 
 @add("a12_first_of_every_key", f"SELECT context_id, {_FOLD.format('ref_key')} AS k, min(id) AS id, min(created_at) AS created_at FROM chunk_refs GROUP BY 1, 2")
 def _(s: SparkSession, d: str) -> DataFrame:
-    """As a12_first_of_natural_key, over every key of the table, those with characters outside ASCII included."""
+    """The first row of each key, without regard to the case of ASCII letters."""
     return table(s, d, "chunk_refs").groupBy("context_id", fold_ascii(F.col("ref_key")).alias("k")).agg(F.min("id").alias("id"), F.min("created_at").alias("created_at"))
 
 
@@ -387,15 +385,9 @@ def _(s: SparkSession, d: str) -> DataFrame:
     return table(s, d, "ontology_merge_log").select("id", "winner_id", "loser_id", "merged_at").distinct().orderBy(F.desc("merged_at"), F.desc("id")).limit(20)
 
 
-@add("l8_label_lookup", "SELECT context_id, lower(label) AS k, min(id) AS id FROM ontology_nodes WHERE NOT regexp_matches(label, '[^\\x00-\\x7F]') GROUP BY 1, 2")
-def _(s: SparkSession, d: str) -> DataFrame:
-    plain = table(s, d, "ontology_nodes").where(~F.col("label").rlike(r"[^\x00-\x7F]"))
-    return plain.groupBy("context_id", fold_ascii(F.col("label")).alias("k")).agg(F.min("id").alias("id"))
-
-
 @add("l8_every_label", f"SELECT context_id, {_FOLD.format('label')} AS k, min(id) AS id FROM ontology_nodes GROUP BY 1, 2")
 def _(s: SparkSession, d: str) -> DataFrame:
-    """As l8_label_lookup, over every label of the table, those with characters outside ASCII included."""
+    """The node of each label, without regard to the case of ASCII letters; the smallest id of several."""
     return table(s, d, "ontology_nodes").groupBy("context_id", fold_ascii(F.col("label")).alias("k")).agg(F.min("id").alias("id"))
 
 
@@ -411,6 +403,23 @@ def _(s: SparkSession, d: str) -> DataFrame:
     return chunks(s, d).select("id", estimated_tokens(F.col("text")).alias("tokens"))
 
 
+#: The moment that stands for now: a parameter of whatever asks for the age of something.
+CLOCK = datetime(2026, 1, 1)
+
+
+@add("d1_ages", f"SELECT event_id, floor(epoch(ts))::BIGINT AS epoch, strftime(ts, '%Y-%m-%d %H:%M:%S') AS shown, epoch(TIMESTAMP '{CLOCK}')::BIGINT - floor(epoch(ts))::BIGINT AS age FROM events")
+def _(s: SparkSession, d: str) -> DataFrame:
+    """Times as seconds, as text, and as age against a clock that is given."""
+    return with_age(table(s, d, "events"), "ts", CLOCK).select("event_id", "epoch", "shown", "age")
+
+
+@add("sc1_views", "SELECT context_id, count(DISTINCT id) AS nodes, (SELECT count(DISTINCT id) FROM ontology_edges e WHERE e.context_id = n.context_id) AS edges FROM ontology_nodes n GROUP BY context_id")
+def _(s: SparkSession, d: str) -> DataFrame:
+    """SQL over the opened tables of a directory."""
+    db = Database.open(s, d)
+    return db.sql("SELECT n.context_id, n.nodes, coalesce(e.edges, 0) AS edges FROM (SELECT context_id, count(DISTINCT id) AS nodes FROM {ontology_nodes} GROUP BY context_id) n LEFT JOIN (SELECT context_id, count(DISTINCT id) AS edges FROM {ontology_edges} GROUP BY context_id) e ON n.context_id = e.context_id")
+
+
 # Messages and evaluation
 
 
