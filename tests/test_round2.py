@@ -249,3 +249,31 @@ def test_citations_at_odd_places():
         refs.references(text, lexicon)
     assert [r[0] for r in refs.references("AT 4.3a und AT 4.", lexicon)] == ["MARISK:AT4"]
     assert [r[0] for r in refs.references("Art. 5 CRR-Novelle, Art. 6 CRR.", lexicon)] == ["CRR:Art.6"]
+
+
+def test_databases(spark, tmp_path):
+    from normlake.sources.database import Database
+
+    memory = Database.in_memory(spark, {"a": ([(1, "x"), (2, None)], "id long, v string"), "b": ([(1,)], "id long")})
+    assert rows(memory.sql("SELECT a.v FROM {a} a JOIN {b} b ON a.id = b.id")) == {("x",)}
+    memory["a"].write.parquet(f"{tmp_path}/a.parquet")
+    (tmp_path / "note.txt").write_text("no table")
+    opened = Database.open(spark, str(tmp_path))
+    assert list(opened.tables) == ["a"] and opened["a"].count() == 2
+
+
+def test_ages_against_a_given_clock(spark):
+    from datetime import UTC, datetime
+
+    from normlake.functions.dates import with_age
+
+    df = spark.createDataFrame([(1, datetime(2025, 12, 31, 23, 59, 59, 700_000)), (2, None)], "id long, at timestamp")
+    got = {r.id: (r.epoch, r.shown, r.age) for r in with_age(df, "at", datetime(2026, 1, 1)).collect()}
+    at = int(datetime(2025, 12, 31, 23, 59, 59, tzinfo=UTC).timestamp())
+    assert got == {1: (at, "2025-12-31 23:59:59", 1), 2: (None, None, None)}
+
+
+def test_letters_with_marks():
+    from normlake.functions.text import plain_tokens
+
+    assert plain_tokens("Čeština ŻÓŁW Ångström ñandú Øre") == ["cestina", "zołw", "angstrom", "nandu", "ore"]
