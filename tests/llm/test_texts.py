@@ -271,6 +271,35 @@ def test_groups_of_copies_stay_linear(spark):
     assert near_copies.near_copies(spark.createDataFrame([], "kind int, id long, text string")).count() == 0
 
 
+def test_different_texts_of_a_large_class(spark):
+    """Copies hang on the first row of their text; texts that only have the same words stand in all pairs."""
+    same = "eins zwei drei vier fünf sechs sieben acht neun zehn elf zwölf"
+    other, third = same.upper(), " ".join(same.split()[::-1])
+    near = same.replace("zwölf", "dreizehn")
+    data = [(0, i, same) for i in range(20)] + [(0, 20 + i, other) for i in range(3)] + [(0, 30, third), (0, 40, near)]
+    got = rows(near_copies.near_copies(spark.createDataFrame(data, "kind int, id long, text string")).select("id_a", "id_b"))
+    stars = {(0, i) for i in range(1, 20)} | {(20, 21), (20, 22)}
+    assert got == stars | {(0, 20), (0, 30), (20, 30)} | {(0, 40), (20, 40), (30, 40)}
+
+
+def test_variants_in_blocks(spark, monkeypatch):
+    """A variant of more texts than a block is compared in pairs of blocks, and nothing is lost."""
+    rng = np.random.default_rng(3)
+    base = [f"w{i}" for i in range(40)]
+    texts = []
+    for i in range(60):
+        words = list(base)
+        words[int(rng.integers(40))] = f"x{i}"
+        texts.append(" ".join(words))
+    df = spark.createDataFrame([(0, i, t) for i, t in enumerate(texts)], "kind int, id long, text string")
+    want = rows(near_copies.near_copies(df).select("id_a", "id_b"))
+    # The words of the group, which is all of the corpus, keep their weight.
+    assert len(want) >= 0.98 * (60 * 59 // 2)
+    tokens = near_copies.tokenise(df)
+    packed = near_copies.signed(tokens, near_copies.word_weights(tokens), 2)
+    assert rows(near_copies.candidates(packed, 2, block=7).distinct()) == rows(near_copies.candidates(packed, 2).distinct())
+
+
 # Spam pages
 
 LAW = "Die Bank muss den Bericht nach § 5 der Verordnung bis zum 7. Werktag prüfen und der Stelle in der Stadt vorlegen. "
