@@ -50,13 +50,15 @@ def top(df: DataFrame, keys: Sequence[str], k: int, score: str = "score", id_: s
     return df.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
 
-def batch_search(queries: DataFrame, vectors: DataFrame, k: int, by: Sequence[str] = ("space",), query_block: int = QUERY_BLOCK, vector_block: int = VECTOR_BLOCK) -> DataFrame:
+def batch_search(queries: DataFrame, vectors: DataFrame, k: int, by: Sequence[str] = ("space",), block: int | None = None, query_block: int = QUERY_BLOCK, vector_block: int = VECTOR_BLOCK) -> DataFrame:
     """(query_id, *by, id, score, rank): for each query of queries(query_id, space, qvec) the k best per `by` of vectors(id, *by, vec).
 
     Both sides are cut into blocks by a hash, and each pair of blocks of a space
     meets in one task, which multiplies STRIPE queries at a time; only k rows a
-    query leave it. Vectors of another size than the query's are skipped.
+    query leave it. Vectors of another size than the query's are skipped. `block`
+    sets the rows of a block of either side.
     """
+    query_block, vector_block = block or query_block, block or vector_block
     extra = [b for b in by if b != "space"]
     nq, nv = max(1, -(-queries.count() // query_block)), max(1, -(-vectors.count() // vector_block))
     q = queries.select("query_id", "space", "qvec", F.pmod(F.xxhash64("query_id"), F.lit(nq)).alias("bq")).withColumn("bv", F.explode(F.sequence(F.lit(0), F.lit(nv - 1))))
