@@ -290,9 +290,18 @@ def _(s: SparkSession, d: str) -> DataFrame:
     return e.groupBy("context_id", "source_id", "target_id", G.fold_ascii(F.col("relation_type")).alias("k")).agg(F.min("id").alias("id"))
 
 
-@add("g16_label_propagation")
+def _propagated_sql(rounds: int) -> str:
+    """Label propagation, a table a round."""
+    steps = [
+        f"l{i} AS MATERIALIZED (SELECT u AS node_id, arg_max(community, (n, -community)) AS community FROM (SELECT u, community, count(*) AS n FROM e JOIN l{i - 1} ON node_id = w GROUP BY 1, 2) GROUP BY 1)"
+        for i in range(1, rounds + 1)
+    ]
+    ends = "SELECT source_id AS u, target_id AS w FROM ontology_edges WHERE source_id <> target_id UNION SELECT target_id, source_id FROM ontology_edges WHERE source_id <> target_id"
+    return f"WITH e AS MATERIALIZED ({ends}), l0 AS MATERIALIZED (SELECT DISTINCT u AS node_id, u AS community FROM e), {', '.join(steps)} SELECT node_id, community FROM l{rounds}"
+
+
+@add("g16_label_propagation", _propagated_sql(5))
 def _(s: SparkSession, d: str) -> DataFrame:
-    """Iterative; tested against a plain version on a small graph."""
     return G.label_propagation(edges(s, d).where("source_id is not null and target_id is not null"))
 
 

@@ -194,16 +194,26 @@ def _(s: SparkSession, d: str) -> DataFrame:
     return total.orderBy(F.desc(F.round("score", 9)), "id").limit(K).select("id", F.round("score", 6).alias("score"))
 
 
-@add("r14_rerank")
+#: White space between words, as str.split() sees it.
+_WHITE = "[\\s\\x{1C}-\\x{1F}\\x{85}\\x{A0}\\x{1680}\\x{2000}-\\x{200A}\\x{2028}\\x{2029}\\x{202F}\\x{205F}\\x{3000}]+"
+
+
+@add(
+    "r14_rerank",
+    f"""WITH h AS (SELECT id FROM {_bm25()}), w AS (SELECT id, text, list_distinct(regexp_split_to_array(lower(text), '{_WHITE}')) AS words FROM chunks SEMI JOIN h USING (id)),
+    s AS (SELECT id, len(list_intersect(words, {QUERY.lower().split()!r}))::DOUBLE AS score FROM w)
+    SELECT * FROM (SELECT 1::BIGINT AS query_id, id, score, row_number() OVER (ORDER BY round(score, 9) DESC, id) AS rank FROM s) WHERE rank <= {K}""",
+)
 def _(s: SparkSession, d: str) -> DataFrame:
-    """Pairs scored by an injected scorer, here the shared words; there is no model to compare with."""
+    """Pairs scored by an injected scorer, here the shared words."""
 
     def scorer(pairs: list[tuple[str, str]]) -> list[float]:
         return [float(len(set(q.lower().split()) & set(t.lower().split()))) for q, t in pairs]
 
     found = _keyword(s, d).join(table(s, d, "chunks").select("id", "text"), "id")
     pairs = found.select(F.lit(1).cast("long").alias("query_id"), "id", F.lit(QUERY).alias("query"), "text")
-    return R.rerank(pairs, scorer, K)
+    found = R.rerank(pairs, scorer, K)
+    return found.select("query_id", "id", "score", F.col("rank").cast("long").alias("rank"))
 
 
 _PAIRS = [("0,11,12,2", "0,21,2", "0,11,12,2,2,21,2"), ("0,9,2", "", "0,9,2,2"), ("0,9,2", "0", "0,9,2,2,0")]
@@ -331,12 +341,18 @@ def _(s: SparkSession, d: str) -> DataFrame:
     return index.bm25("Leasingfrist").select("id", F.round("score", 4).alias("score"))
 
 
-@add("r5_text_to_hits")
+@add(
+    "r5_text_to_hits",
+    f"""WITH q AS (SELECT id AS query_id, (id % 2)::BIGINT AS space, list_transform(range(64), lambda i: (length(lower(coalesce(question, ''))) - length(replace(lower(coalesce(question, '')), chr((97 + i % 26)::INT), '')) + i)::DOUBLE) AS qvec FROM eval_golden_entries),
+    p AS (SELECT query_id, q.space, v.id, list_cosine_similarity(v.vec, q.qvec) AS score FROM q JOIN {_SPACE} v ON v.space = q.space)
+    SELECT * FROM (SELECT query_id, space, id, round(score, 4) AS score, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, id) AS rank FROM p) WHERE rank <= 5""",
+)
 def _(s: SparkSession, d: str) -> DataFrame:
-    """Questions embedded by an injected embedder, here letter counts; there is no model to compare with."""
+    """Questions embedded by an injected embedder, here letter counts."""
 
     def embedder(texts: list[str]) -> list[list[float]]:
         return [[float(t.lower().count(chr(97 + i % 26)) + i) for i in range(64)] for t in texts]
 
     texts = table(s, d, "eval_golden_entries").select(F.col("id").alias("query_id"), (F.col("id") % 2).alias("space"), F.col("question").alias("text"))
-    return R.batch_search(R.embedded(texts, embedder), space(s, d), 5)
+    found = R.batch_search(R.embedded(texts, embedder), space(s, d), 5)
+    return found.select("query_id", "space", "id", F.round("score", 4).alias("score"), F.col("rank").cast("long").alias("rank"))
