@@ -165,6 +165,18 @@ e AS (SELECT a.id AS a, b.id AS b FROM v a JOIN v b ON a.context_id = b.context_
 r AS (SELECT DISTINCT a AS node_id, a AS seen FROM e UNION SELECT r.node_id, e.b FROM r JOIN e ON r.seen = e.a),
 g AS (SELECT node_id, min(seen) AS cluster_id FROM r GROUP BY node_id)
 SELECT cluster_id, node_id FROM g WHERE cluster_id IN (SELECT cluster_id FROM g GROUP BY cluster_id HAVING count(*) >= 3)""",
+    "p4_clusters": f"""
+WITH RECURSIVE v AS ({_NODE_VECTORS}),
+e AS (SELECT a.id AS a, b.id AS b FROM v a JOIN v b ON a.context_id = b.context_id AND a.id <> b.id WHERE list_cosine_similarity(a.vec, b.vec) >= 0.8),
+r AS (SELECT DISTINCT a AS node_id, a AS seen FROM e UNION SELECT r.node_id, e.b FROM r JOIN e ON r.seen = e.a),
+g AS (SELECT node_id, min(seen) AS cluster_id FROM r GROUP BY node_id),
+m AS (SELECT cluster_id, node_id FROM g WHERE cluster_id IN (SELECT cluster_id FROM g GROUP BY cluster_id HAVING count(*) >= 3)),
+u AS (SELECT cluster_id, node_id, list_transform(vec, lambda x: x / sqrt(list_dot_product(vec, vec))) AS u FROM m JOIN v ON id = node_id),
+t AS (SELECT cluster_id, list(s ORDER BY i) AS total FROM (SELECT cluster_id, i, sum(u[i]) AS s FROM u, range(1, {NODE_SIZE + 1}) AS n(i) GROUP BY 1, 2) GROUP BY 1),
+p AS (SELECT cluster_id, node_id, row_number() OVER (PARTITION BY cluster_id ORDER BY round(list_dot_product(u, total), 9) DESC, node_id) AS place FROM u JOIN t USING (cluster_id)),
+h AS (SELECT cluster_id, max(n) AS recorded FROM (SELECT cluster_id, community_id, count(*) AS n FROM m JOIN (SELECT DISTINCT community_id, node_id FROM ontology_community_members) USING (node_id) GROUP BY 1, 2) GROUP BY 1)
+SELECT cluster_id, count(*) AS size, string_agg(CASE WHEN place <= 3 THEN node_id::VARCHAR END, ',' ORDER BY place) AS typical, coalesce(any_value(recorded), 0) AS recorded
+FROM p LEFT JOIN h USING (cluster_id) GROUP BY cluster_id""",
     # Shared words of all pairs of a table, counted with repetition.
     "p6_found": r"""
 WITH t AS (SELECT 'chunks' AS table_name, id, any_value(text) AS text FROM chunks GROUP BY id
