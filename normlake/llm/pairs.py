@@ -145,8 +145,12 @@ def unwrap(response: str) -> tuple[str, bool]:
                 text = m.group(1).replace("\\n", "\n").replace('\\"', '"') if m else text
     elif text[:1] == text[-1:] == '"' and len(text) > 1:
         text = text[1:-1]
-    text = re.sub(r"<[^<>]{1,40}>", " ", text)
-    return re.sub(r"[ \t\xa0​﻿]+", " ", text).strip(), broken
+    if "<" in text:
+        text = re.sub(r"<[^<>]{1,40}>", " ", text)
+    # Of what is printable only the plain space is to be joined.
+    if "  " in text or not text.replace("\n", "").isprintable():
+        text = re.sub(r"[ \t\xa0​﻿]+", " ", text)
+    return text.strip(), broken
 
 
 def _citation(text: str) -> bool:
@@ -218,7 +222,7 @@ def describe(prompt: str, response: str, error: str | None) -> tuple[list[str],
 
 
 def _hashed(texts: Sequence[str]) -> tuple[np.ndarray, np.ndarray]:
-    """Buckets of the letter sequences of lengths four and five, of words and of word pairs with a gap of up to two, and the text of each."""
+    """Buckets of the letter sequences of lengths four and five, of words and of word pairs with a gap of up to one, and the text of each."""
     plain = [" " + " ".join(words(t)) + " " for t in texts]
     c = np.frombuffer("".join(plain).encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
     sizes = np.array([len(p) for p in plain])
@@ -249,7 +253,7 @@ def _hashed(texts: Sequence[str]) -> tuple[np.ndarray, np.ndarray]:
         at = at[seen]
         found.append(_bucket(word ^ np.uint32(0x9E3779B9)))
         of.append(at)
-        for gap_ in (1, 2, 3):
+        for gap_ in (1, 2):
             same = at[:-gap_] == at[gap_:]
             found.append(_bucket((word[:-gap_] * np.uint32(31) ^ word[gap_:] * np.uint32(2654435761))[same]))
             of.append(at[:-gap_][same])
