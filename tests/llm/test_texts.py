@@ -2,6 +2,7 @@ from __future__ import annotations
 
 import base64
 import re
+import time
 from collections import Counter
 from datetime import datetime as D
 
@@ -300,6 +301,34 @@ def test_variants_in_blocks(spark, monkeypatch):
     assert rows(near_copies.candidates(packed, 2, block=7).distinct()) == rows(near_copies.candidates(packed, 2).distinct())
 
 
+def test_passes_leave_no_shuffle_behind(spark, monkeypatch):
+    """Segments in passes find the same pairs, and what a pass shuffled is gone when the pairs are known."""
+    rng = np.random.default_rng(4)
+    vocabulary = [f"w{i}" for i in range(600)]
+    texts = [" ".join(rng.choice(vocabulary, 30)) for _ in range(300)]
+    texts += [t.replace(t.split()[3], "neu", 1) for t in texts[:150]]
+    df = spark.createDataFrame([(0, i, t) for i, t in enumerate(texts)], "kind int, id long, text string")
+    disk = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+    kept = lambda: {f for f in disk.getAllFiles().mkString("\n").split("\n") if f.endswith(".data")}
+    tokens = near_copies.tokenise(df).cache()
+    weights = near_copies.word_weights(tokens)
+    members = near_copies.text_keys(tokens, weights).cache()
+    rows_ = members.count()
+    found = []
+    for variants in (10**9, 10_000):
+        monkeypatch.setattr(near_copies, "PASS_VARIANTS", variants)
+        before = kept()
+        links = near_copies.settled(near_copies.similar_contents(tokens, members, weights, rows_))
+        # Files are dropped by another thread.
+        for _ in range(50):
+            if kept() <= before:
+                break
+            time.sleep(0.2)
+        assert kept() <= before
+        found.append(rows(links.distinct()))
+    assert len(found[0]) >= 145 and found[0] == found[1]
+
+
 # Spam pages
 
 LAW = "Die Bank muss den Bericht nach § 5 der Verordnung bis zum 7. Werktag prüfen und der Stelle in der Stadt vorlegen. "
