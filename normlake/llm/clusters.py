@@ -4,7 +4,9 @@ A vector is described by the sides of random hyperplanes on which it lies, a set
 of tokens whose Jaccard similarity follows the angle. MinHash bands over these
 sets bring likely neighbours into common buckets; the exact Jaccard similarity of
 the token sets discards chance meetings and the exact cosine decides. That links
-most of every large set; all others are compared pair by pair. Connected
+most of every large set. Then every pair of a part is compared, in blocks, of which
+only the links between such groups come out, and how many similar ones a vector
+has: no pair is left out, and large sets are not multiplied out. Connected
 components make groups, and a group whose members are not all similar to its
 medoid, the member of highest degree, is split around it, and what is left again.
 """
@@ -24,16 +26,17 @@ from normlake.plans.runtime import cut, lookup_join, partitions, stored
 
 #: Cosine from which two vectors belong together, and least members of a set.
 COSINE, LEAST_MEMBERS = 0.80, 3
-#: Hyperplanes, bands and rows of a band. The bands link most of every large set; what has no linked
-#: member of lower rank is compared with all others like it.
+#: Hyperplanes, bands and rows of a band. The bands link most of every large set; they bear only on how many
+#: links the comparison of all pairs gives.
 PLANES, BANDS, ROWS = 128, 16, 8
 #: Jaccard similarity of the token sets below which a pair is dropped: a pair of cosine 0.80
 #: agrees in 0.795 of the planes on average, here 0.67, three and a half deviations less.
 LEAST_JACCARD = 0.50
 #: Rows of bands matched in one task, about.
 TASK_ROWS = 1_000_000
-#: Rows of a block in that comparison, about, and how many of them meet a block at once.
-BLOCK, STRIPE = 8192, 512
+#: Rows of a block in that comparison, about, and how many of them meet a block at once. A row is sent once
+#: for each block of its part.
+BLOCK, STRIPE = 65_536, 128
 
 
 def planes(size: int, seed: int = 5) -> np.ndarray:
@@ -68,7 +71,7 @@ def candidate_pairs(vectors: DataFrame, size: int, count: int = BANDS) -> DataFr
 
     A chain through each bucket, and not its pairs: the components it makes are
     those of all its similar pairs, but for places where a stranger stands
-    between; what that leaves without a link is compared in full afterwards.
+    between; all pairs are compared in full afterwards.
     """
 
     def describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -127,45 +130,74 @@ def verified(pairs: DataFrame, vectors: DataFrame, least: float) -> DataFrame:
     return pairs.join(a, "a").join(b, "b").select("a", "b", "va", "vb").mapInArrow(similar, "a long, b long")
 
 
+def _joining(x: np.ndarray, y: np.ndarray, labels: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The places of links x - y that join labels, no circles among them, and the labels afterwards; joined ones take their smallest."""
+    held = [np.empty(0, dtype=np.int64)]
+    at = np.arange(len(x))
+    while len(at := at[labels[x[at]] != labels[y[at]]]):
+        lo, hi = np.minimum(labels[x[at]], labels[y[at]]), np.maximum(labels[x[at]], labels[y[at]])
+        own, first = np.unique(hi, return_index=True)
+        held.append(at[first])
+        to = np.arange(labels.max() + 1)
+        to[own] = lo[first]
+        while (further := to[to]).tolist() != to.tolist():
+            to = further
+        labels = to[labels]
+    return np.concatenate(held), labels
+
+
 def similar_within(vectors: DataFrame, least: float) -> DataFrame:
-    """(a, b), a < b, of all vectors(part, content, vec) of a part that have the cosine: every pair is compared.
+    """Every pair of vectors(part, content, grp, vec) of a part is compared: rows (a, b, 0) and (content, content, n).
 
-    Parts are cut into blocks of about BLOCK rows, and each two of them meet in one group.
+    a and b are groups with members that have the cosine; these links join all such
+    groups, but not each two of them stand in one. The n of a vector add up to
+    the number of its similar ones. Parts are cut into blocks of about BLOCK rows, and
+    each two of them meet in one group, which gives no more rows than it has.
     """
     blocks = vectors.groupBy("part").agg(F.ceil(F.count(F.lit(1)) / BLOCK).alias("blocks"))
     placed = lookup_join(vectors, blocks, "part").withColumn("own", F.pmod(F.xxhash64("content", F.lit(11)), "blocks"))
     met = placed.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
-    keyed = met.select("part", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"), "own", "content", "vec")
+    keyed = met.select("part", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"), "own", "content", "grp", "vec")
 
     def compare(group: pa.Table) -> pa.Table:
         group = group.combine_chunks()
-        own, lo, hi, content = (group.column(c).to_numpy() for c in ("own", "lo", "hi", "content"))
+        own, lo, hi, content, grp = (group.column(c).to_numpy() for c in ("own", "lo", "hi", "content", "grp"))
         x = unit(matrix(group.column("vec").combine_chunks()))
         rough = x.astype(np.float32)
         left, right = np.nonzero(own == lo[0])[0], np.nonzero(own == hi[0])[0]
-        held = [np.empty((0, 2), dtype=np.int64)]
+        opposite = rough[right].T
+        _, labels = np.unique(grp, return_inverse=True)
+        degree = np.zeros(len(content), dtype=np.int64)
+        a, b = [np.empty(0, dtype=np.int64)], [np.empty(0, dtype=np.int64)]
         for start in range(0, len(left), STRIPE):
             rows = left[start : start + STRIPE]
-            # Single precision is off by far less than this; double precision decides.
-            i, j = np.nonzero(rough[rows] @ rough[right].T >= least - 1e-4)
+            score = rough[rows] @ opposite
+            # Single precision is off by far less than this; next to the threshold double precision decides.
+            hit = score >= least - 1e-4
+            doubtful = np.nonzero(score[hit] < least + 1e-4)[0]
+            i, j = np.nonzero(hit)
             i, j = rows[i], right[j]
-            if lo[0] == hi[0]:
-                i, j = i[i < j], j[i < j]
-            for k in range(0, len(i), 100_000):
-                a, b = i[k : k + 100_000], j[k : k + 100_000]
-                good = np.einsum("ij,ij->i", x[a], x[b]) >= least
-                a, b = content[a[good]], content[b[good]]
-                held.append(np.stack([np.minimum(a, b), np.maximum(a, b)], 1))
-        both = np.concatenate(held)
-        return pa.table({"a": both[:, 0], "b": both[:, 1]})
-
-    return keyed.groupBy("part", "lo", "hi").applyInArrow(compare, "a long, b long")
-
-
-def _around_medoids(grouped: DataFrame, vectors: DataFrame, edges: DataFrame, least: float) -> DataFrame:
-    """(content, medoid): every group split around its members of highest degree."""
-    degree = edges.select(F.explode(F.array("a", "b")).alias("content")).groupBy("content").agg(F.count(F.lit(1)).alias("degree"))
-    left = cut(grouped.join(degree, "content", "left").select("content", "group_id", F.coalesce("degree", F.lit(0)).alias("degree")))
+            good = i != j
+            for k in range(0, len(doubtful), 100_000):
+                d = doubtful[k : k + 100_000]
+                good[d] &= np.einsum("ij,ij->i", x[i[d]], x[j[d]]) >= least
+            i, j = i[good], j[good]
+            degree += np.bincount(i, minlength=len(degree))
+            if lo[0] != hi[0]:
+                degree += np.bincount(j, minlength=len(degree))
+            kept, labels = _joining(i, j, labels)
+            a.append(grp[i[kept]])
+            b.append(grp[j[kept]])
+        some = np.nonzero(degree)[0]
+        n = np.concatenate([np.zeros(sum(map(len, a)), dtype=np.int64), degree[some]])
+        return pa.table({"a": np.concatenate([*a, content[some]]), "b": np.concatenate([*b, content[some]]), "n": n})
+
+    return keyed.groupBy("part", "lo", "hi").applyInArrow(compare, "a long, b long, n long")
+
+
+def _around_medoids(grouped: DataFrame, vectors: DataFrame, least: float) -> DataFrame:
+    """(content, medoid) of grouped(content, group_id, degree): every group split around its members of highest degree."""
+    left = cut(grouped)
     done = None
     while True:
         medoid = left.groupBy("group_id").agg(F.max_by("content", F.struct("degree", -F.col("content"))).alias("medoid"))
@@ -175,14 +207,13 @@ def _around_medoids(grouped: DataFrame, vectors: DataFrame, edges: DataFrame, le
         part = held.where("near").select("content", "medoid")
         done = part if done is None else done.unionByName(part)
         # Every round takes a star out of every group; the rest of a group falls into components, each split on its own.
-        rest = cut(held.where("not near").select("content", "degree"))
+        rest = held.where("not near").select("content", "group_id", "degree")
         if rest.isEmpty():
             return done
-        for end in ("a", "b"):
-            edges = edges.join(rest.select(F.col("content").alias(end)), end, "left_semi")
-        edges = cut(edges.select("a", "b"))
-        again = connected_components(edges).select(F.col("record_id").alias("content"), "group_id")
-        left = cut(rest.join(again, "content", "left").select("content", F.coalesce("group_id", "content").alias("group_id"), "degree"))
+        inside = rest.join(vectors.select("content", "vec"), "content").select(F.col("group_id").alias("part"), "content", F.col("content").alias("grp"), "vec")
+        links = cut(similar_within(inside, least).where("n = 0").select("a", "b"))
+        again = connected_components(links).select(F.col("record_id").alias("content"), "group_id")
+        left = cut(rest.drop("group_id").join(again, "content", "left").select("content", F.coalesce("group_id", "content").alias("group_id"), "degree"))
 
 
 def similarity_sets(vectors: DataFrame, size: int, least: float = COSINE) -> DataFrame:
@@ -198,25 +229,23 @@ def similarity_sets(vectors: DataFrame, size: int, least: float = COSINE) -> Dat
     unique = stored(rows.groupBy("content").agg(F.first("part").alias("part"), F.first("vec").alias("vec")))
     near = cut(verified(candidate_pairs(unique, size), unique, least))
     rank = lambda c: F.struct(F.xxhash64(c, F.lit(9)), F.col(c))
-    covered = near.select(F.when(rank("a") > rank("b"), F.col("a")).otherwise(F.col("b")).alias("content")).distinct()
-    rest = stored(unique.join(covered, "content", "left_anti"))
-    # Each vertex has links down to one of the rest, so every mutually similar set is joined here.
-    far = cut(similar_within(rest, least))
-    # Two links of every vertex of the first pass hold together what its links do.
+    # Two links of every vertex hold together what all of them do.
     ends = near.select(F.explode(F.array(F.struct(F.col("a").alias("v"), F.col("b").alias("w")), F.struct(F.col("b").alias("v"), F.col("a").alias("w")))).alias("e")).select("e.v", "e.w")
     two = ends.groupBy("v").agg(F.min_by("w", rank("w")).alias("x"), F.max_by("w", rank("w")).alias("y"))
-    thin = two.select("v", F.explode(F.array_distinct(F.array("x", "y"))).alias("w")).select(F.least("v", "w").alias("a"), F.greatest("v", "w").alias("b"))
-    edges = near.unionByName(far)
-    links = cut(thin.unionByName(far).distinct())
-    grouped = cut(connected_components(links).select(F.col("record_id").alias("content"), "group_id"))
-    # Loose groups whose members of the rest are not similar: their medoids are compared, too.
-    stars = cut(_around_medoids(grouped, unique, edges, least))
-    heads = unique.join(stars.select(F.col("medoid").alias("content")).distinct(), "content", "left_semi")
-    joined = cut(similar_within(heads, least))
-    if not joined.isEmpty():
-        edges = edges.unionByName(joined)
-        grouped = cut(connected_components(links.unionByName(joined)).select(F.col("record_id").alias("content"), "group_id"))
-        stars = cut(_around_medoids(grouped, unique, edges, least))
+    thin = cut(two.select("v", F.explode(F.array_distinct(F.array("x", "y"))).alias("w")).select(F.least("v", "w").alias("a"), F.greatest("v", "w").alias("b")).distinct())
+    first = connected_components(thin).select(F.col("record_id").alias("content"), F.col("group_id").alias("grp"))
+    placed = stored(unique.join(first, "content", "left").select("part", "content", F.coalesce("grp", "content").alias("grp"), "vec"))
+    # All pairs: what the bands left out joins their groups, and the degrees are exact.
+    found = cut(similar_within(placed, least))
+    degree = found.where("n > 0").groupBy(F.col("a").alias("content")).agg(F.sum("n").alias("degree"))
+    grouped = placed.select("content", "grp").join(degree, "content")
+    joins = found.where("n = 0").select("a", "b").distinct()
+    if not joins.isEmpty():
+        whole = cut(connected_components(joins).select(F.col("record_id").alias("grp"), "group_id"))
+        grouped = lookup_join(cut(grouped), whole, "grp")
+    else:
+        grouped = grouped.withColumn("group_id", F.col("grp"))
+    stars = cut(_around_medoids(grouped.select("content", F.coalesce("group_id", "grp").alias("group_id"), "degree"), unique, least))
     named = stars.select("content", F.col("medoid").alias("set_id"))
     return lookup_join(rows.select("part", "key", "content"), named, "content").select(
         "part", "key", "content", F.coalesce("set_id", "content").alias("set_id")

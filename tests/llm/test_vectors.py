@@ -177,6 +177,36 @@ def test_loose_sets_among_many_unlinked_vectors(spark, monkeypatch, block):
     assert rows(C.cluster_members(numbered(spark, data), size)) == want
 
 
+@pytest.mark.parametrize("block", [65_536, 150])
+def test_stars_of_leaves_that_are_not_similar(spark, monkeypatch, block):
+    """Leaves are similar to their centre only: no link of a vector that has another one may be left out."""
+    monkeypatch.setattr(C, "BLOCK", block)
+    rng = np.random.default_rng(12)
+    size, sets, leaves = 64, 30, 14
+    x = []
+    for _ in range(sets):
+        base = np.linalg.qr(rng.normal(size=(size, leaves + 1)))[0].T
+        x += [base[0], *(0.82 * base[0] + np.sqrt(1 - 0.82**2) * base[1:])]
+    data = {("a", str(i)): v.astype(np.float32) for i, v in enumerate(x)}
+    want = {(i // (leaves + 1) * (leaves + 1), i) for i in range(len(x))}
+    assert rows(C.cluster_members(numbered(spark, data), size)) == want
+
+
+def test_links_and_degrees_of_all_pairs(spark):
+    data = grouped(6, 30, 0.45, 17)
+    keys = [int(k) for _, k in data]
+    listed = [(p, int(k), int(k), [float(v) for v in x]) for (p, k), x in data.items()]
+    got = rows(C.similar_within(spark.createDataFrame(listed, "part string, content long, grp long, vec array<float>"), C.COSINE))
+    x = N.unit(np.stack(list(data.values())).astype(np.float64))
+    parts = np.array([p for p, _ in data])
+    similar = (x @ x.T >= C.COSINE) & (parts[:, None] == parts) & ~np.eye(len(x), dtype=bool)
+    assert {a: n for a, b, n in got if n} == {k: int(n) for k, n in zip(keys, similar.sum(1), strict=True) if n}
+    links = [(a, b) for a, b, n in got if not n]
+    assert all(similar[keys.index(a), keys.index(b)] for a, b in links)
+    reach = np.linalg.matrix_power((similar | np.eye(len(x), dtype=bool)).astype(float), 60) > 0
+    assert len(links) == len(x) - len({tuple(r) for r in reach.tolist()})
+
+
 def test_describing_clusters(spark):
     data = grouped(3, 5, 0.1, 9)
     df = numbered(spark, data)
