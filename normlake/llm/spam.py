@@ -52,8 +52,8 @@ LEAST_WORDS = 40
 #: Pages that a language has at least to get function words of its own, and what part of the widest word's
 #: share of pages its function words have.
 LEAST_PAGES, WIDESPREAD = 20, 0.5
-#: Languages with function words at most, those of most pages; all have a list or are told by name or script.
-MOST_LANGUAGES = 60
+#: Languages whose letter triples a worker holds, or measures a page against, at once; bears on memory only.
+LANGUAGE_BLOCK = 64
 #: Buckets of letter triples. A page without a name is of no language if it fits the best one worse than the median
 #: page by MISFIT times what separates the median from the worst twentieth.
 TRIPLE_BITS, MISFIT = 15, 4
@@ -157,7 +157,7 @@ def _triples(text: str) -> np.ndarray:
 
 @dataclass
 class Languages:
-    """Names, function words and letter-triple profiles (log shares, one row a language) of the languages of a corpus."""
+    """Names, function words and letter-triple profiles (log shares, one row a language) of the languages of a corpus, of any number."""
 
     names: list[str]
     function: list[frozenset[str]]
@@ -165,18 +165,25 @@ class Languages:
 
     def __post_init__(self) -> None:
         self.place = {n: i for i, n in enumerate(self.names)}
-        self.listed: dict[str, int] = {}
+        self.listed: dict[str, list[int]] = {}
         for i, words in enumerate(self.function):
             for w in words:
-                self.listed[w] = self.listed.get(w, 0) | 1 << i
+                self.listed.setdefault(w, []).append(i)
+
+    def nearest(self, triples: np.ndarray) -> int:
+        """The language that letter triples fit best, or -1 without any."""
+        if not len(triples):
+            return -1
+        return int(np.concatenate([self.profiles[i : i + LANGUAGE_BLOCK, triples].mean(1) for i in range(0, len(self.names), LANGUAGE_BLOCK)]).argmax())
 
 
 def corpus_languages(documents: DataFrame) -> Languages:
     """The languages of documents(text, lang).
 
     Counted are, by named language or else by script, pages, letter triples, and
-    for groups without a list the pages of each word. To the driver come at most
-    2 ** TRIPLE_BITS rows a language and the widespread words of each.
+    for groups without a list the pages of each word. Every group of LEAST_PAGES
+    pages is a language, however many there are; names have two letters. To the driver
+    come at most 2 ** TRIPLE_BITS rows a language and the widespread words of each.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -190,6 +197,12 @@ def corpus_languages(documents: DataFrame) -> Languages:
             words.clear()
             return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True) if rows else ([], [], []), (pa.string(), pa.string(), pa.int64()), strict=True)], names=schema)
 
+        def spread() -> Iterator[pa.RecordBatch]:
+            for group, found in triples.items():
+                at = np.nonzero(found)[0]
+                yield pa.RecordBatch.from_arrays([pa.array([group] * len(at), pa.string()), pa.array([f"\0{i}" for i in at], pa.string()), pa.array(found[at])], names=schema)
+            triples.clear()
+
         for batch in batches:
             own: dict[str, list[np.ndarray]] = {}
             for text, name in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
@@ -203,16 +216,17 @@ def corpus_languages(documents: DataFrame) -> Languages:
             for group, parts in own.items():
                 found = np.bincount(np.concatenate(parts), minlength=1 << TRIPLE_BITS)
                 triples[group] = triples[group] + found if group in triples else found
+                if len(triples) >= LANGUAGE_BLOCK:
+                    yield from spread()
             if len(words) > MAX_REMEMBERED:
                 yield listed()
-        for group, found in triples.items():
-            at = np.nonzero(found)[0]
-            yield pa.RecordBatch.from_arrays([pa.array([group] * len(at), pa.string()), pa.array([f"\0{i}" for i in at], pa.string()), pa.array(found[at])], names=schema)
+        yield from spread()
         words.update({(g, "\0"): n for g, n in pages.items()})
         yield listed()
 
     counts = stored(documents.where(F.length(F.trim("text")) > 0).select("text", F.col("lang").cast("string")).mapInArrow(run, "language string, word string, n long").groupBy("language", "word").agg(F.sum("n").alias("n")))
-    sizes = {r["language"]: r["n"] for r in counts.where("word = '\0'").orderBy(F.desc("n"), "language").limit(MOST_LANGUAGES).collect()}
+    # Two-letter names and scripts, each of LEAST_PAGES pages or with a list.
+    sizes = {r["language"]: r["n"] for r in counts.where("word = '\0'").where((F.col("n") >= LEAST_PAGES) | F.col("language").isin(list(FUNCTION_WORDS))).collect()}
     names = sorted({*FUNCTION_WORDS, *(g for g, n in sizes.items() if n >= LEAST_PAGES and g != ":latin")})
     kept = counts.where(F.col("language").isin(names))
     widest = kept.where(F.substring("word", 1, 1) != "\0").groupBy("language").agg(F.max("n").alias("most"))
@@ -221,26 +235,31 @@ def corpus_languages(documents: DataFrame) -> Languages:
     # Few words are on half as many pages as the widest one.
     for r in wide.select("language", "word").collect():
         own.setdefault(r["language"], set()).add(r["word"])
+    place = {n: i for i, n in enumerate(names)}
     profiles = np.ones((len(names), 1 << TRIPLE_BITS))
     for r in kept.where("word like '\0_%'").groupBy("word").agg(F.collect_list(F.struct("language", "n")).alias("by")).toLocalIterator():
         for x in r["by"]:
-            profiles[names.index(x["language"]), int(r["word"][1:])] += x["n"]
-    profiles = np.log(profiles / profiles.sum(1, keepdims=True)).astype(np.float32)
+            profiles[place[x["language"]], int(r["word"][1:])] += x["n"]
+    profiles /= profiles.sum(1, keepdims=True)
+    profiles = np.log(profiles, out=profiles).astype(np.float32)
     # A language without named pages is never told by its letters.
     profiles[[i for i, n in enumerate(names) if n not in sizes or n[0] == ":"]] = -99
     return Languages(names, [frozenset(FUNCTION_WORDS.get(n, ())) or frozenset(own.get(n, ())) for n in names], profiles)
 
 
 class _Words(dict):
-    """Numbers of words, and of each word its languages (one bit each) and length."""
+    """Numbers of words, and of each word its length and the languages whose function word it is: where they start in a list, and how many they are."""
 
-    def __init__(self, listed: dict[str, int]) -> None:
+    def __init__(self, listed: dict[str, list[int]]) -> None:
         super().__init__()
-        self.listed, self.bits, self.lengths = listed, [], []
+        self.listed, self.starts, self.counts, self.languages, self.lengths = listed, [], [], [], []
 
     def __missing__(self, word: str) -> int:
         self[word] = n = len(self)
-        self.bits.append(self.listed.get(word, 0))
+        own = self.listed.get(word, ())
+        self.starts.append(len(self.languages))
+        self.counts.append(len(own))
+        self.languages.extend(own)
         self.lengths.append(len(word))
         return n
 
@@ -289,7 +308,11 @@ def measure_pages(texts: list[str], names: list[str | None], known: Languages, v
         whole = sum(map(len, lines))
         duplicated.append((whole - sum(map(len, once))) / whole if len(once) < len(lines) else 0.0)
     ids = np.array(flat, dtype=np.int64)
-    bits = np.array(vocabulary.bits, dtype=np.uint64)[ids] if len(ids) else np.zeros(0, dtype=np.uint64)
+    # How many languages have each word, and for each word and language one entry.
+    counts = np.array(vocabulary.counts, dtype=np.int64)[ids] if len(ids) else np.zeros(0, dtype=np.int64)
+    at = np.repeat(np.arange(len(ids)), counts)
+    entry = np.arange(len(at)) - np.repeat(np.cumsum(counts) - counts, counts)
+    of = np.array(vocabulary.languages, dtype=np.int64)[np.array(vocabulary.starts, dtype=np.int64)[ids[at]] + entry] if len(at) else np.zeros(0, dtype=np.int64)
     lengths = np.array(vocabulary.lengths, dtype=np.int64)[ids] if len(ids) else np.zeros(0, dtype=np.int64)
     w_size, p_windows = np.array(n_words, dtype=np.int64), np.array(n_windows, dtype=np.int64)
     w_start = np.cumsum(w_size) - w_size
@@ -300,7 +323,7 @@ def measure_pages(texts: list[str], names: list[str | None], known: Languages, v
     window = np.repeat(np.arange(len(w_size)), w_size)
 
     # Languages: most function words, if they are many; the page's own name; the letters.
-    share = np.stack([_sums((bits >> np.uint64(i)) & np.uint64(1), p_start, p_size) for i in range(len(known.names))]) / np.maximum(p_size, 1)
+    share = np.bincount(of * len(texts) + page[at], minlength=len(known.names) * len(texts)).reshape(len(known.names), -1) / np.maximum(p_size, 1)
     best = share.argmax(0)
     language = np.full(len(texts), -1)
     told = np.zeros(len(texts), dtype=bool)
@@ -315,18 +338,16 @@ def measure_pages(texts: list[str], names: list[str | None], known: Languages, v
         elif stated >= 0:
             language[i] = stated
         elif name is None:
-            found = known.profiles[:, _triples(plain)]
-            if found.shape[1]:
-                language[i] = found.mean(1).argmax()
+            language[i] = known.nearest(_triples(plain))
         if language[i] >= 0:
             t = known.profiles[language[i], _triples(plain)]
             fit[i] = t.mean() if len(t) else -99.0
             told[i] = language[i] == stated
-    own = np.where(language >= 0, language, 63).astype(np.uint64)
-    is_function = ((bits >> own[page]) & np.uint64(1)).astype(np.float64)
+    is_function = np.zeros(len(ids))
+    is_function[at[of == language[page[at]]]] = 1
 
     # The most frequent words of each page that are no function words.
-    content = np.nonzero((bits == 0) & (lengths > 2))[0]
+    content = np.nonzero((counts == 0) & (lengths > 2))[0]
     key, count = np.unique(page[content] << 32 | ids[content], return_counts=True)
     key_page = key >> 32
     order = np.lexsort((key, -count, key_page))

@@ -380,6 +380,28 @@ def test_prose_of_other_languages_is_no_spam(spark, named):
     assert rows(spam.find_spam_pages(spark.createDataFrame(plain + many + stuffed, schema))) == {(9000,)}
 
 
+def test_any_number_of_languages(spark):
+    """Eighty languages of their own words: those of fewest pages have function words, too."""
+    rng = np.random.default_rng(6)
+    data, listed = [], {}
+    for k in range(80):
+        name = chr(97 + k // 26) + chr(97 + k % 26)
+        if name in spam.FUNCTION_WORDS:
+            continue
+        word = lambda i, name=name: f"{name}{chr(97 + i // 26)}{chr(97 + i % 26)}"
+        listed[name] = {word(i) for i in range(6)}
+        for page in range(30 if k < 75 else 22):
+            sentences = [" ".join(word(int(i)) for x in rng.integers(6, 600, 6) for i in (rng.integers(6), x)) + "." for _ in range(8)]
+            data.append((len(data), " ".join(s.capitalize() for s in sentences), name))
+    stuffed = [(10_000 + i, " ".join(f"{n}{chr(97 + j // 26)}{chr(97 + j % 26)}" for j in rng.permutation(np.arange(6, 600))[:60]), n) for i, n in enumerate(("cb", "cx"))]
+    stuffed = [x for x in stuffed if x[2] in listed]
+    df = spark.createDataFrame(data + stuffed, "doc_id long, text string, lang string")
+    known = spam.corpus_languages(df)
+    for name, words in listed.items():
+        assert words <= known.function[known.place[name]], name
+    assert rows(spam.find_spam_pages(df)) == {(x[0],) for x in stuffed}
+
+
 def test_pages_of_repeated_lines(spark):
     plain = [(i, (LAWS[i % 3] + " ") * (2 + i % 5), "de") for i in range(60)]
     again = [(100, "Jetzt den günstigen Plan für die ganze Familie sichern und mit der Bank sparen.\n" * 12, "de"), (101, "\n".join(LAWS), "de"), (102, None, "de"), (103, "\n\t ", None)]
